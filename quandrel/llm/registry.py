@@ -5,6 +5,7 @@ from __future__ import annotations
 from quandrel.llm.decontaminate import OP8_SQL, op8_decontaminate
 from quandrel.llm.jaccard import OP7_SQL, op7_ngram_jaccard
 from quandrel.llm.line_dedup import OP1_SQL, op1_line_dedup
+from quandrel.llm.repeats import op4_suffix_dedup
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontaminate": OP8_SQL}
