@@ -6,6 +6,7 @@ from quandrel.llm.decontaminate import OP8_SQL, op8_decontaminate
 from quandrel.llm.jaccard import OP7_SQL, op7_ngram_jaccard
 from quandrel.llm.line_dedup import OP1_SQL, op1_line_dedup
 from quandrel.llm.repeats import op4_suffix_dedup
+from quandrel.llm.vectors import OP10_SQL, op10_near_vectors
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontaminate": op8_decontaminate, "op10_near_vectors": op10_near_vectors}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_near_vectors": OP10_SQL}
