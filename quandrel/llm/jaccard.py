@@ -159,9 +159,11 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     classes = staged(some.join(keyed.select("class_id"), F.col("uid") == F.col("class_id")).select("class_id", "th", "n", "k1", "k2", "g1", "g2", "signature"), "classes")
     grouped = classes.groupBy("n", "g1", "g2").agg(F.min("class_id").alias("group_id"), F.count("*").alias("size"))
     members = classes.select("class_id", "n", "g1", "g2").join(grouped, ["n", "g1", "g2"]).select("group_id", "class_id", "n", "size")
-    prefixes = some.select("uid", "n", "prefix").join(grouped.select("group_id"), F.col("uid") == F.col("group_id")).select("group_id", F.posexplode("prefix").alias("pos", "token"))
-    common = prefixes.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1").select("token")
-    met = prefixes.join(common.hint("shuffle_hash"), "token").join(members, "group_id").select("token", "class_id", "n", "pos")
+    prefixes = some.select("uid", "n", "prefix").join(grouped.select("group_id"), F.col("uid") == F.col("group_id")).select("group_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # of two groups under a shingle, sizes too far apart can't link; more groups wait for the bounds on pairs
+    common = prefixes.groupBy("token").agg(F.count("*").cast("int").alias("uses"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    common = common.filter(F.expr(f"uses > 2 or (uses = 2 and {den} * lo >= {num} * hi)")).select("token")
+    met = prefixes.drop("n").join(common.hint("shuffle_hash"), "token").join(members, "group_id").select("token", "class_id", "n", "pos")
     inside = members.filter("size > 1").select(F.xxhash64("group_id", "n").alias("token"), "class_id", "n", F.lit(0).alias("pos"))
     lists = staged(met.unionByName(inside), "lists")
 
