@@ -31,6 +31,8 @@ def path_of(url: Column) -> Column:
 
 def longest_rule(rules, host: Column, path: Column) -> Column:
     """The longest rule that fits, a struct (length, rule, action), or null.  A rule list is a parameter, so it is a literal."""
+    if not rules:
+        return F.lit(None).cast("struct<length: int, rule: string, action: string>")
     table = F.array(*(F.struct(F.lit(len(p)).alias("length"), F.lit(p).alias("rule"), F.lit(a).alias("action")) for a, p in rules))
     rule_host = lambda r: F.substring_index(r["rule"], "/", 1)
     fits = lambda r: ((host == rule_host(r)) | F.endswith(host, F.concat(F.lit("."), rule_host(r)))) & F.startswith(path, F.substring(r["rule"], F.length(rule_host(r)) + 1, F.length(r["rule"])))
