@@ -119,7 +119,13 @@ def centred_std(y: Column, keys: Sequence[str], width: int = 20) -> Column:
 
 def start_lines(rows: DataFrame, keys: Sequence[str], y: Column, m: Column, sigma: Column, spread: Column) -> DataFrame:
     """(keys..., a, b, c, d): least squares of y on the median and of the local deviation on the spread, with floors."""
-    line = rows.groupBy(*keys).agg(F.regr_intercept(y, m).alias("a"), F.regr_slope(y, m).alias("b"), F.regr_intercept(sigma, spread).alias("c"), F.regr_slope(sigma, spread).alias("d"))
+    varies = lambda x: F.stddev_pop(x) > 1e-9 * F.abs(F.avg(x))  # noqa: E731  a line through one x is rounding noise
+    line = rows.groupBy(*keys).agg(
+        F.when(varies(m), F.regr_intercept(y, m)).alias("a"),
+        F.when(varies(m), F.regr_slope(y, m)).alias("b"),
+        F.when(varies(spread), F.regr_intercept(sigma, spread)).alias("c"),
+        F.when(varies(spread), F.regr_slope(sigma, spread)).alias("d"),
+    )
     floor = F.lit(1e-4)
     return line.select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(1.0)).alias("b"), F.greatest(floor, F.coalesce("c", F.lit(1e-2))).alias("c"), F.greatest(floor, F.coalesce("d", F.lit(1.0))).alias("d"))
 

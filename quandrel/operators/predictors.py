@@ -206,7 +206,7 @@ class ContextModel:
             for i in range(0, len(at), batch):
                 out.append(np.sort(np.asarray(model(views[at[i : i + batch]].copy()), float), axis=1))
             if not out:
-                return pd.DataFrame({"item_id": [], "timestamp": [], "lead_time": [], "q": []})
+                return frame.iloc[:0][["item_id", "timestamp"]].assign(lead_time=np.int32(0), q=None)
             got = np.concatenate(out)
             chosen = frame.iloc[at]
             return pd.concat([pd.DataFrame({"item_id": chosen["item_id"], "timestamp": chosen["timestamp"], "lead_time": h, "q": list(got[:, :, k])}) for k, h in enumerate(leads)])
