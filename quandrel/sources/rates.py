@@ -23,10 +23,10 @@ def upright(value: Column, stem: Column) -> Column:
 def aligned(rows: DataFrame) -> DataFrame:
     """All items at all times that any has: what an outer join on time gives in long form.
 
-    Times of an item are made by exploding the array of all times; that array is days of some decades.
+    The items of a folder are its files, so their list is a literal that each time is exploded over.
     """
-    times = rows.agg(F.array_sort(F.collect_set("timestamp")).alias("t")).first()[0]
-    cells = rows.select("item_id").distinct().select("item_id", F.explode(F.array(*(F.lit(x).cast("timestamp_ntz") for x in times))).alias("timestamp")) if times else rows.select("item_id", "timestamp")
+    items = sorted(r.item_id for r in rows.select("item_id").distinct().collect())
+    cells = rows.select("timestamp").distinct().select(F.explode(F.array(*map(F.lit, items)).cast("array<string>")).alias("item_id"), "timestamp")
     return cells.join(rows, ["item_id", "timestamp"], "left")
 
 
