@@ -23,8 +23,9 @@ from quandrel.llm import arrays
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of more characters are folded one by one with a heap; text of a step in bytes.
-LONG_WORD, STEP_BYTES = 64, 2 << 20
+#: Words of more characters are folded one by one with a heap; bytes of text, and ids, that a step works on.
+LONG_WORD, STEP_BYTES = 64, 1 << 20
+STEP_IDS = 1 << 18
 NONE = np.int32(2**31 - 1)
 
 
@@ -229,8 +230,10 @@ def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
             bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy())]).astype(np.int64)
-            texts = decode_ids(shared.value, lists.flatten().to_numpy(), bounds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            ids = lists.flatten().to_numpy()
+            for lo, hi in arrays.steps(bounds, STEP_IDS):
+                texts = decode_ids(shared.value, ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return mine.mapInArrow(run, T.StructType([*mine.schema.fields, T.StructField(into, T.StringType())]))
 
