@@ -68,7 +68,9 @@ def code_hash(points: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """The piece table in the form that joins with substrings: sorted hashes, ranks, ids."""
+    """The piece table in the form that joins with substrings: sorted hashes in buckets, ranks, ids."""
+
+    SHIFT = np.uint64(44)
 
     def __init__(self, pieces: Pieces):
         self.longest = max(map(len, pieces.texts))
@@ -77,6 +79,8 @@ class Lattice:
         hashes = arrays.span_hash(code_hash(code_points("".join(pieces.texts))), ends - sizes, ends)
         order = np.argsort(hashes)
         self.hashes, self.ranks = hashes[order], order.astype(np.int32)
+        # where the hashes of each value of the top bits begin: most buckets are empty, few have more than one
+        self.first = np.searchsorted(self.hashes >> self.SHIFT, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
         self.ids = np.array(pieces.ids, np.int32)
         self.bytes = np.array(pieces.bytes_, np.int32)
         self.rank_of = {t: i for i, t in enumerate(pieces.texts)}
@@ -89,9 +93,15 @@ class Lattice:
         for size in range(1, self.longest + 1):
             start = np.flatnonzero(np.arange(n) + size <= end_of)
             h = arrays.span_hash(prefix, start, start + size)
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            out[start[hit], size] = self.ranks[at[hit]]
+            bucket = (h >> self.SHIFT).astype(np.int32)
+            at, end = self.first[bucket], self.first[bucket + 1]
+            some = np.flatnonzero(at < end)
+            start, h, at, end = start[some], h[some], at[some], end[some]
+            while len(start):
+                hit = self.hashes[at] == h
+                out[start[hit], size] = self.ranks[at[hit]]
+                rest = np.flatnonzero(~hit & (at + 1 < end))
+                start, h, at, end = start[rest], h[rest], at[rest] + 1, end[rest]
         return out
 
     def fold(self, edges: np.ndarray, starts: np.ndarray, end_of: np.ndarray) -> np.ndarray:
