@@ -29,7 +29,7 @@ from quandrel.llm import arrays
 from quandrel.llm.components import components
 from quandrel.llm.staging import staged
 
-#: The sketch has so many counters, in so many slices: 16 MB whatever the input.
+#: The sketch has so many counters, in so many slices: 8 MB whatever the input.
 COUNTERS, SLICES = 1 << 22, 64
 #: A list of at most so many text hashes (8 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -39,21 +39,21 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 16 bits: all that their order needs."""
+    return np.minimum(np.round(2048 * np.log2(counts + 1.0)), 65535).astype(np.uint16)
+
+
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents have a shingle under each counter, over all of ``docs``."""
+    """How many documents have a shingle under each counter, over all of ``docs``, coded."""
     width = COUNTERS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(COUNTERS, np.uint32), [], 0
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, sets in arrays.shingle_sets(batch.column(0), k):
-                held += sets
-                n += sum(map(len, sets))
-                if n >= 1 << 21:
-                    total += np.bincount(counter_of(np.concatenate(held)), minlength=COUNTERS).astype(np.uint32)
-                    held, n = [], 0
-        if n:
-            total += np.bincount(counter_of(np.concatenate(held)), minlength=COUNTERS).astype(np.uint32)
+                if sets:
+                    np.add.at(total, counter_of(np.concatenate(sets)), np.uint32(1))
         for i in range(SLICES):
             part = total[i * width : (i + 1) * width]
             if part.any():
@@ -66,12 +66,12 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
                 total.setdefault(i, np.zeros(width, np.uint64))
                 total[i] += np.frombuffer(raw, f"u{len(raw) // width}").astype(np.uint64)
         for i, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([coded(part).tobytes()], pa.binary())], ["slice", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
-    whole = np.zeros(COUNTERS, np.uint32)
-    for row in parts.collect():  # at most SLICES rows of 256 KB
-        whole[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, np.uint32)
+    whole = np.zeros(COUNTERS, np.uint16)
+    for row in parts.collect():  # at most SLICES rows of 128 KB
+        whole[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, np.uint16)
     return whole
 
 
@@ -202,7 +202,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     mine = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows, roots = similar_classes(mine, k, num, den)
     labelled = staged(rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "th", "n", F.coalesce("root", "class_id").alias("root")), "labelled")
-    least = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # as a table, so that AQE can split the rows of a large component
+    least = staged(labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return labelled.join(least, "root", "left").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -212,13 +213,20 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Rows without words have no component and all stay, rows of a null doc_id stay if nothing else stands for them.
     """
     groups = jaccard_groups(docs, k, num, den)
-    best = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("th").alias("th"))
+    mine = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id", "th").agg(F.count("*").alias("rows"))
+    best = mine.groupBy("component_id").agg(F.min(F.struct("th", "rows")).alias("b"))
+    chosen = staged(best.select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "chosen")
+    few = chosen.count() <= BROADCAST_ROWS  # then texts aren't shuffled
     names = docs.columns
     keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    chosen = best.select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id"), F.col("th").alias("_th"))
-    stays = keyed.filter(~blank).join(chosen, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*names)
-    return stays.unionByName(docs.filter(blank))
+
+    def held(of: DataFrame) -> DataFrame:
+        return keyed.filter(~blank).join(F.broadcast(of) if few else of, ["_id", "_th"], "left_semi")
+
+    once = held(chosen.filter("_rows = 1"))
+    repeated = held(chosen.filter("_rows > 1")).dropDuplicates(["_id", "_th"])
+    return once.unionByName(repeated).select(*names).unionByName(docs.filter(blank))
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
