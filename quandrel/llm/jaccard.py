@@ -189,9 +189,9 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) for each row of ``docs``; th is xxhash64 of the text.
+    """(doc_id, th, n_shingles, component_id, root) for each row of ``docs``; th is xxhash64 of the text.
 
-    Words are runs of anything but space and U+0009 to U+000D, A-Z lower-cased.  A document's set has its distinct ``k``-word
+    root numbers the component, also where all of its doc_ids are null; it is null for the empty set.  Words are runs of anything but space and U+0009 to U+000D, A-Z lower-cased.  A document's set has its distinct ``k``-word
     shingles; with fewer words the whole sequence is one.  Documents link when den * intersection >= num * union, and
     component_id is the smallest doc_id that links reach.
 
@@ -204,21 +204,22 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     labelled = staged(rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "th", "n", F.coalesce("root", "class_id").alias("root")), "labelled")
     # as a table, so that AQE can split the rows of a large component
     least = staged(labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    return labelled.join(least, "root", "left").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return labelled.join(least, "root", "left").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; of rows that repeat it, one.
 
-    Rows without words have no component and all stay, rows of a null doc_id stay if nothing else stands for them.
+    Rows without words have no component and all stay; of a component whose ids are all null, one row stays.
     """
+    named = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit(""))
     groups = jaccard_groups(docs, k, num, den)
-    mine = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id", "th").agg(F.count("*").alias("rows"))
-    best = mine.groupBy("component_id").agg(F.min(F.struct("th", "rows")).alias("b"))
-    chosen = staged(best.select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "chosen")
+    mine = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("root", "component_id", "th").agg(F.count("*").alias("rows"))
+    best = mine.groupBy("root", "component_id").agg(F.min(F.struct("th", "rows")).alias("b"))
+    chosen = staged(best.select(named("component_id").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "chosen")
     few = chosen.count() <= BROADCAST_ROWS  # then texts aren't shuffled
     names = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", named("doc_id"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
 
     def held(of: DataFrame) -> DataFrame:
