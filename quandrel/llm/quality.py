@@ -1,12 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Plan.  Symbols are character classes: letters, one class for upper case, and so on; a word that equals the word before it
-is one symbol of its own.  The alphabet is fixed, so all n-grams of order 4 fit in a table of fixed size, whatever the corpus.
-1. Tasks count the n-grams of all trusted texts and send one row an n-gram; counts are summed in shards by n-gram.
-2. Kneser-Ney's continuation counts, context totals and discounts are groups and joins of those shards by suffix and context.
-3. The probabilities of all n-grams, at most ALPHABET ** ORDER, are broadcast; documents are scored where they lie, without
-   a shuffle of texts or of their n-grams.
-4. A document is rejected if its perplexity is over a quantile of trusted texts of its language.
+Plan.  kneser.py counts the n-grams of all trusted texts by language and scores every document with them.
+1. A document is rejected if its perplexity is over a quantile of trusted texts of its language, times a slack,
+2. or if the mean surprise of its worst word is over a quantile of theirs.
+The functions of character classes below are the former model, which classify() doesn't use.
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quandrel.llm import arrays
+from quandrel.llm import arrays, kneser
 from quandrel.llm.staging import staged
 
 # Symbols: 0 begin, 1 repeated word, 2 upper case, 3 accented letter, 4 other letter, 5 digit, 6 white space, 7 line feed,
@@ -29,6 +26,10 @@ ALPHABET, ORDER = 39, 4
 SKIP = 255
 #: Lists of at most so many trusted ids, and of languages with a threshold, are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many grams of all documents, 16 bytes each, are broadcast with their probabilities.
+BROADCAST_GRAMS = 2_000_000
+#: The worst word of this share of trusted texts is allowed.
+WORD_QUANTILE = 0.98
 
 _CLASS = np.full(256, SIGN, np.uint8)
 _CLASS[128:192] = SKIP  # bytes inside a character
@@ -165,28 +166,40 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.9, slack: float = 1.75) -> DataFrame:
-    """(doc_id, th, lang, perplexity, threshold, kept) for each row of ``docs``; th is xxhash64 of the text.
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.9, slack: float = 1.75, word_quantile: float = WORD_QUANTILE) -> DataFrame:
+    """(doc_id, th, lang, perplexity, threshold, worst_word, word_threshold, kept) for each row of ``docs``; th is xxhash64 of the text.
 
-    ``trusted_ids`` (doc_id) names trusted documents; their texts, all of them, train the model.  A row is kept if its
-    perplexity is at most ``slack`` times the ``quantile`` of trusted rows of its language.  Languages without trusted rows,
-    and null ones, take the threshold of all trusted rows; with no trusted rows at all every text is kept.
+    ``trusted_ids`` (doc_id) names trusted documents; their texts, all of them, train a model per language.  A row is kept
+    if its perplexity is at most ``slack`` times the ``quantile`` of trusted rows of its language, and its worst word, by
+    the mean surprise of its letters, is no worse than the ``word_quantile`` of theirs.  Trusted rows are scored without
+    what they alone hold.  Languages without trusted rows, and null ones, take the model and the thresholds of all trusted
+    rows; with no trusted rows at all every text is kept.
 
     Null and empty texts have no perplexity and are not kept.  Rows that repeat a doc_id are judged each by its own text.
     Rows of a null doc_id are judged but never trusted.  Other columns play no part.
     """
-    trusted = trusted_ids.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().withColumn("trusted", F.lit(True))
-    mine = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    trusted = trusted_ids.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().withColumn("own", F.lit(True))
     trusted = small(staged(trusted, "trusted"))
-    counts = staged(count_grams(mine.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi")), "grams")
-    scored = staged(perplexities(mine, log_table(order_tables(counts))), "scored")
-    known = scored.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").filter("perplexity is not null")
-    by_lang = small(staged(known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("of_lang")), "languages"))
-    of_all = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    limit = F.coalesce(F.col("of_lang"), F.lit(of_all).cast("double")) * slack
-    judged = scored.join(by_lang, "lang", "left").withColumn("threshold", limit)
-    kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return judged.select("doc_id", "th", "lang", "perplexity", "threshold", kept.alias("kept"))
+    mine = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    mine = mine.join(trusted, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("own", F.lit(False))).drop("_id", "own")
+    known = mine.filter("trusted and text > ''")
+    number = (F.pmod(F.xxhash64("lang"), F.lit((1 << kneser.BITS) - 1)) + 1).cast("int")
+    languages = small(staged(known.select("lang").distinct().withColumn("of_own", number), "languages"))
+    modelled = mine.join(languages, "lang", "left").select("doc_id", "lang", "th", "trusted", F.coalesce("of_own", F.lit(0)).alias("model"), "text")
+    training = known.select(number.alias("model"), "th", "text")
+    if not modelled.filter("model = 0 and text > ''").isEmpty():
+        training = training.unionByName(known.select(F.lit(0).alias("model"), "th", "text"))
+    scored = staged(kneser.score_documents(modelled, training, BROADCAST_GRAMS), "scored")
+    own = scored.filter("trusted and perplexity is not null")
+    limits = [F.percentile_approx("perplexity", quantile, 10_000), F.percentile_approx("worst_word", word_quantile, 10_000)]
+    by_lang = small(staged(own.groupBy("lang").agg(limits[0].alias("of_lang"), limits[1].alias("word_of_lang")), "limits"))
+    of_all = own.agg(*limits).first()
+    judged = scored.join(by_lang, "lang", "left").withColumns({
+        "threshold": F.coalesce(F.col("of_lang"), F.lit(of_all[0]).cast("double")) * slack,
+        "word_threshold": F.coalesce(F.col("word_of_lang"), F.lit(of_all[1]).cast("double")),
+    })
+    under = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("worst_word") <= F.col("word_threshold"), F.lit(True))
+    return judged.select("doc_id", "th", "lang", "perplexity", "threshold", "worst_word", "word_threshold", (F.col("perplexity").isNotNull() & under).alias("kept"))
 
 
 def trusted_by_labels(labels: DataFrame) -> DataFrame:
