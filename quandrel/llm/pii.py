@@ -38,6 +38,8 @@ NAMES = {
 SYLLABLES = {"latin": "ba be bo da den do fa fel ga gor ka lan len mar mon nel ran sol tan vor".split(), "cyrillic": "ба бе бо да ден до фа фел га гор ка лан лен мар мон нел ран сол тан вор".split()}
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 50
+#: Surnames get a syllable more with each attempt; from this attempt on, octets of addresses are of any length.
+WIDER = 8
 
 
 def kind_of(entity: Column) -> Column:
@@ -59,7 +61,7 @@ def stream(key: str, *parts: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (kind, entity, attempt) with ``surrogate``, of the entity's length but for persons."""
+    """``entities`` (kind, entity, attempt) with ``surrogate``, of the entity's length but for persons and late attempts at addresses."""
     from_hex = lambda h, i: F.conv(F.substring(h, F.pmod((i - 1) * 2, F.lit(192)) + 1, F.lit(2)), 16, 10).cast("int")
     rows = entities.withColumn("h", stream(key, F.col("kind"), F.col("entity"), F.col("attempt").cast("string")))
     rows = rows.withColumn("h_domain", stream(key, F.lit("domain"), F.substring_index("entity", "@", -1), F.col("attempt").cast("string")))
@@ -86,7 +88,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         return F.when(keep, c).otherwise(F.coalesce(new, c))
 
     spelled = F.array_join(F.transform(F.sequence(F.lit(1), n), char), "")
-    octet = lambda o, k: F.when(F.length(o) == 1, 1 + from_hex(F.col("h"), k + 1) % 9).when(F.length(o) == 2, 10 + from_hex(F.col("h"), k + 1) % 90).otherwise(100 + from_hex(F.col("h"), k + 1) % 155)
+    wide = lambda o, k: (1 + F.conv(F.substring(F.col("h"), 8 * k + 9, F.lit(8)), 16, 10).cast("long") % 254).cast("int")
+    octet = lambda o, k: F.when(F.col("attempt") >= WIDER, wide(o, k)).when(F.length(o) == 1, 1 + from_hex(F.col("h"), k + 1) % 9).when(F.length(o) == 2, 10 + from_hex(F.col("h"), k + 1) % 90).otherwise(100 + from_hex(F.col("h"), k + 1) % 155)
     address = F.array_join(F.transform(F.split(e, r"\."), lambda o, k: octet(o, k).cast("string")), ".")
 
     def luhn(digits: Column, size: Column) -> Column:
@@ -104,8 +107,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     for (g, s), names in NAMES.items():
         given = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), from_hex(F.col("h"), F.lit(1)) % len(names) + 1)).otherwise(given)
     for s, parts in SYLLABLES.items():
-        pick = lambda i, parts=parts: F.element_at(F.array(*map(F.lit, parts)), from_hex(F.col("h"), F.lit(i)) % len(parts) + 1)
-        family = F.when(script == s, F.initcap(F.concat(pick(2), pick(3), pick(4)))).otherwise(family)
+        pick = lambda i, parts=parts: F.element_at(F.array(*map(F.lit, parts)), from_hex(F.col("h"), i) % len(parts) + 1)
+        family = F.when(script == s, F.initcap(F.array_join(F.transform(F.sequence(F.lit(2), F.col("attempt") + 4), lambda i: pick(i)), ""))).otherwise(family)
     two = F.size(F.split(e, " ")) > 2
     person = F.concat_ws(" ", F.substring_index(e, " ", 1), F.when(two, given), family)
     chosen = F.when(F.col("kind") == "ipv4", address).when(F.col("kind") == "card", card).when(F.col("kind") == "person", person).otherwise(spelled)
