@@ -1,7 +1,8 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block tags.  Pass 1 decides blocks by where they stand (navigation, forms, comments, adverts;
-an article) and, where the page names no article, by length, link density and density of stop words.  Short blocks that
+an article) and, where the page names no article, by length, link density and density of stop words.  A container's
+name is evidence only: an article below it or, where nothing else is text, the densities overrule it.  Short blocks that
 those rules leave open inherit, in pass 2, the label of the nearest decided neighbour; of two as near, the one in the same
 container.  Spark deals the pages; a page is parsed by a small scanner in one pass.
 """
@@ -30,6 +31,10 @@ MARKS = {
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchform", "form", "widget", "contentinfo", "complementary",
 }
+# Parts of a name that say that it is about the page's layout: at its begin; at its end, outside an article.
+WITH, LAYOUT = {"has", "no", "with", "without"}, {"wrap", "wrapper", "container", "layout", "page", "content", "results", "inner"}
+# What stands above a block: nothing, a name of the layout with a mark, a mark, what takes it away for good.
+FREE, WEAK, MARKED, GONE = range(4)
 COMMENT_MARKS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "ad", "ads", "advert", "promo", "sponsored", "related", "teaser"}
 STOP_WORDS = set(
     "the of and to in a is that it for was on are with as at be this by have from or had but not what all were when we there can an your which their said if do will each about"
@@ -61,6 +66,7 @@ class Block:
     article: bool
     heading: bool
     container: int
+    doubt: int = FREE
     label: bool | None = None
 
 
@@ -70,11 +76,25 @@ def marks_of(attributes: str) -> set[str]:
     return {x.lower() for m in ATTRIBUTES.finditer(attributes) for x in re.split(r"[^A-Za-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "")) if x}
 
 
+def doubt_of(attributes: str, article: bool) -> int:
+    """FREE, WEAK, MARKED or GONE by the names of a container."""
+    most = FREE
+    for m in ATTRIBUTES.finditer(attributes) if "=" in attributes else ():
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [x.lower() for x in re.split(r"[^A-Za-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)) if x]
+            if MARKS.intersection(parts) or COMMENT_MARKS.intersection(parts):
+                if parts[0] in WITH or (parts[-1] in LAYOUT and not article and not COMMENT_MARKS.intersection(parts)):
+                    most = max(most, WEAK)
+                elif MARKS.intersection(parts):
+                    most = max(most, GONE if COMMENT_MARKS.intersection(parts) else MARKED)
+    return most
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     closing = {t: page.lower().rfind(f"</{t}") for t in AWAY | {"header"}}
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, away, in an article, number
+    stack: list[tuple[str, int, bool, int]] = [("", FREE, False, 0)]  # tag, doubt, in an article, number
     parts: list[str] = []
     links, in_link, heading, number, at = 0, False, False, 0, 0
 
@@ -82,8 +102,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, away, article, own = stack[-1]
-            out.append(Block(text, links, away, article, heading, own))
+            _, doubt, article, own = stack[-1]
+            out.append(Block(text, links, doubt == GONE, article, heading, own, doubt))
         parts.clear()
         links, heading = 0, False
 
@@ -115,13 +135,13 @@ def blocks_of(page: str) -> list[Block]:
             heading = tag[0] == "h" and tag[1:].isdigit() and not end
             if tag in CONTAINERS and not end:
                 number += 1
-                _, away, article, _ = stack[-1]
-                marks = marks_of(m[3])
-                if tag in ("article", "main"):
-                    away, article = away or bool(marks & COMMENT_MARKS), True
+                _, doubt, article, _ = stack[-1]
+                if tag in ("article", "main"):  # resets what generic wrappers are named
+                    doubt, article = GONE if doubt == GONE or marks_of(m[3]) & COMMENT_MARKS else FREE, True
                 elif tag not in ("html", "body"):
-                    away = away or bool(marks & MARKS) or (tag in AWAY and closing[tag] > at) or (tag == "header" and not article and closing[tag] > at)
-                stack.append((tag, away, article, number))
+                    gone = (tag in AWAY and closing[tag] > at) or (tag == "header" and not article and closing[tag] > at)
+                    doubt = GONE if gone else max(doubt, doubt_of(m[3], article))
+                stack.append((tag, doubt, article, number))
             elif tag in CONTAINERS:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
@@ -135,23 +155,34 @@ def blocks_of(page: str) -> list[Block]:
 
 def label(blocks: list[Block], rules: Rules) -> None:
     """Decide every block: pass 1 by rules, pass 2 by the nearest decided neighbour."""
-    named = any(b.article and not b.away for b in blocks)
+    named = any(b.article and b.doubt < MARKED for b in blocks)
+
+    def by_density(b: Block, links: float) -> None:
+        words = WORDS.findall(b.text.lower())
+        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if b.link_chars > links * len(b.text):
+            b.label = False
+        elif len(b.text) >= rules.long:
+            b.label = stop >= rules.stop or None
+        elif not words:
+            b.label = False
+        elif stop >= rules.short_stop and len(b.text) >= rules.long // 2 and not b.heading:
+            b.label = True
+
     for b in blocks:
         if b.away:
             b.label = False
         elif named:
-            b.label = b.article
+            b.label = b.article and b.doubt < MARKED
+        elif b.doubt == MARKED:
+            b.label = False
         else:
-            words = WORDS.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if b.link_chars > rules.links * len(b.text):
-                b.label = False
-            elif len(b.text) >= rules.long:
-                b.label = stop >= rules.stop or None
-            elif not words:
-                b.label = False
-            elif stop >= rules.short_stop and len(b.text) >= rules.long // 2 and not b.heading:
-                b.label = True
+            by_density(b, rules.links / (2 if b.doubt == WEAK else 1))
+    if not any(b.label for b in blocks):  # then the text may stand in a wrapper with a misleading name
+        for b in blocks:
+            if b.doubt == MARKED and not named:
+                b.label = None
+                by_density(b, rules.links / 2)
     decided = [i for i, b in enumerate(blocks) if b.label is not None]
     chosen = {}
     for i, b in enumerate(blocks):
