@@ -1,164 +1,27 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Plan.  kneser.py counts the n-grams of all trusted texts by language and scores every document with them.
-1. A document is rejected if its perplexity is over a quantile of trusted texts of its language, times a slack,
-2. or if the mean surprise of its worst word is over a quantile of theirs.
-The functions of character classes below are the former model, which classify() doesn't use.
+Plan.  kneser.py counts the n-grams of all trusted texts by language, joins the grams of all documents with the counts in
+shards, and scores every document.  A document is rejected
+1. if its perplexity is over a quantile of the trusted texts of its language;
+2. where toxic texts of its language are labelled, if its contrast is over a quantile of theirs: a second model of the same
+   kind counts the toxic texts, and words that it finds likelier speak against a document;
+3. where none are, if its worst word is over a quantile of theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quandrel.llm import arrays, kneser
-from quandrel.llm.staging import staged
+from quandrel.llm import kneser
+from quandrel.llm.staging import light_batches, staged
 
-# Symbols: 0 begin, 1 repeated word, 2 upper case, 3 accented letter, 4 other letter, 5 digit, 6 white space, 7 line feed,
-# 8 full stop, 9 comma, 10 ! or ?, 11 quotes, brackets, colons and dashes, 12 other signs, 13 to 38 the letters a to z.
-BEGIN, AGAIN, UPPER, ACCENT, OTHER, DIGIT, SPACE, LINE, STOP, COMMA, SHOUT, MARK, SIGN, LETTER = range(14)
-ALPHABET, ORDER = 39, 4
-SKIP = 255
 #: Lists of at most so many trusted ids, and of languages with a threshold, are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Up to so many grams of all documents, 16 bytes each, are broadcast with their probabilities.
+#: Up to so many grams of all documents, 20 bytes each, are broadcast with their probabilities.
 BROADCAST_GRAMS = 2_000_000
-#: The worst word of this share of trusted texts is allowed.
-WORD_QUANTILE = 0.98
-
-_CLASS = np.full(256, SIGN, np.uint8)
-_CLASS[128:192] = SKIP  # bytes inside a character
-_CLASS[192:] = OTHER
-_CLASS[[9, 11, 12, 13, 32]] = SPACE
-_CLASS[10] = LINE
-_CLASS[48:58] = DIGIT
-_CLASS[65:91] = UPPER
-_CLASS[97:123] = np.arange(LETTER, LETTER + 26)
-_CLASS[46], _CLASS[44], _CLASS[[33, 63]] = STOP, COMMA, SHOUT
-_CLASS[[ord(x) for x in "\"'()-:;"]] = MARK
-
-
-def symbols(data: np.ndarray, offsets: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, offsets) of texts: BEGIN three times, then a symbol a character, or AGAIN for a repeated word.
-
-    ``once`` leaves out the third and later words of a run of one word: a few trusted texts that repeat words at length
-    would else teach the model that repeats are common.
-    """
-    kind = _CLASS[data]
-    latin = np.flatnonzero(data[:-1] == 0xC3)
-    kind[latin] = np.where(data[latin + 1] < 0x9F, UPPER, ACCENT)
-    start, end, row = arrays.word_bounds(data, offsets)
-    if len(start) > 1:
-        word = arrays.span_hash(arrays.prefix_hash(data), start, end)
-        again = np.flatnonzero((word[1:] == word[:-1]) & (row[1:] == row[:-1])) + 1
-        inside = np.zeros(len(data) + 1, np.int32)
-        np.add.at(inside, start[again], 1)
-        np.add.at(inside, end[again], -1)
-        kind[np.cumsum(inside)[:-1] > 0] = SKIP
-        kind[start[again]] = AGAIN
-        if once:
-            more = again[1:][np.diff(again) == 1]
-            np.add.at(inside, end[more - 1], 1)
-            np.add.at(inside, end[more], -1)
-            kind[(np.cumsum(inside)[:-1] > 0) & (kind != AGAIN)] = SKIP
-            kind[start[more]] = SKIP
-    keep = kind != SKIP
-    sizes = np.add.reduceat(np.append(keep, False), np.minimum(offsets[:-1], len(data))) * (np.diff(offsets) > 0) if len(offsets) > 1 else np.zeros(0, int)
-    pad = ORDER - 1
-    out_offsets = np.concatenate([[0], np.cumsum(sizes + pad)])
-    out = np.zeros(out_offsets[-1], np.uint8)
-    shift = np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)
-    out[np.arange(keep.sum()) + shift] = kind[keep]
-    return out, out_offsets
-
-
-def grams(symbol: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, offsets) of the n-grams that end at each symbol but the padding."""
-    code = np.zeros(max(0, len(symbol) - ORDER + 1), np.int64)
-    for j in range(ORDER):
-        code = code * ALPHABET + symbol[j : len(symbol) - ORDER + 1 + j]
-    row_start = offsets[:-1]
-    valid = np.ones(len(code) + ORDER - 1, bool)
-    for j in range(1, ORDER):
-        at = row_start - j
-        valid[at[at >= 0]] = False  # n-grams over a row's end
-    valid = valid[: len(code)]
-    return code[valid], np.concatenate([[0], np.cumsum(np.diff(offsets) - (ORDER - 1))])
-
-
-def text_grams(column: pa.Array, once: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, n-gram codes, offsets) of successive row ranges."""
-    data, offsets = arrays.texts(column)
-    for lo, hi in arrays.steps(offsets):
-        yield lo, *grams(*symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], once))
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, c) over all ``docs``, summed in shards by n-gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALPHABET**ORDER, np.int64)
-        for batch in batches:
-            for _, code, _ in text_grams(batch.column(0), once=True):
-                total += np.bincount(code, minlength=len(total))
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 1 << 17):
-            part = found[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "c"])
-
-    return docs.select("text").mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def order_tables(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 1 to ORDER: (share of each n-gram after its discount, weight left to the lower order by context), dense."""
-    tables: list[tuple[np.ndarray, np.ndarray]] = []
-    now = counts
-    for n in range(ORDER, 0, -1):
-        of = now.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5))).first()
-        y = of.n1 / max(1, of.n1 + 2 * of.n2)
-        d1, d2, d3 = (max(0.0, i - (i + 1) * y * of[f"n{i + 1}"] / max(1, of[f"n{i}"])) for i in (1, 2, 3))
-        context = (F.col("gram") / ALPHABET).cast("int") if n > 1 else F.lit(0)
-        rows = now.withColumn("context", context)
-        totals = rows.groupBy("context").agg(F.sum("c").alias("total"), (d1 * F.count_if(F.col("c") == 1) + d2 * F.count_if(F.col("c") == 2) + d3 * F.count_if(F.col("c") > 2)).alias("left"))
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        share = rows.join(totals, "context").select("gram", (F.greatest(F.lit(0.0), F.col("c") - discount) / F.col("total")).alias("share"))
-        shares, weights = np.zeros(ALPHABET**n), np.ones(ALPHABET ** (n - 1))
-        for table, into in ((share, shares), (totals.select("context", F.col("left") / F.col("total")), weights)):
-            got = table.toPandas()  # at most ALPHABET ** n rows
-            into[got.iloc[:, 0].to_numpy()] = got.iloc[:, 1].to_numpy()
-        tables.append((shares, weights))
-        now = now.groupBy((F.col("gram") % ALPHABET ** (n - 1)).alias("gram")).agg(F.count("*").alias("c"))
-    return tables[::-1]
-
-
-def log_table(tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Natural logarithms of the interpolated probabilities of all n-grams."""
-    lower = np.full(ALPHABET, 1 / ALPHABET)
-    for shares, weights in tables:
-        lower = (shares.reshape(-1, ALPHABET) + weights[:, None] * lower.reshape(-1, ALPHABET)[np.arange(len(weights)) % max(1, len(lower) // ALPHABET)]).ravel()
-    return np.log(np.maximum(lower, 1e-12)).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``docs`` (..., text last) with text replaced by perplexity; null where a text has no symbols."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = shared.value
-        for batch in batches:
-            rest = batch.num_columns - 1
-            for lo, code, offsets in text_grams(batch.column(rest)):
-                n = np.diff(offsets)
-                sums = np.concatenate([[0.0], np.cumsum(log[code], dtype=np.float64)])
-                value = np.exp(-(sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, len(n)) for j in range(rest)), pa.array(value, mask=n == 0)], [*batch.schema.names[:rest], "perplexity"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("perplexity", T.DoubleType())]))
+#: Shares of trusted texts that each rule allows.
+QUANTILE, WORD_QUANTILE, CONTRAST_QUANTILE = 0.98, 0.98, 0.99
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -166,40 +29,54 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.9, slack: float = 1.75, word_quantile: float = WORD_QUANTILE) -> DataFrame:
-    """(doc_id, th, lang, perplexity, threshold, worst_word, word_threshold, kept) for each row of ``docs``; th is xxhash64 of the text.
+def flagged(ids: DataFrame | None, docs: DataFrame, name: str) -> DataFrame:
+    """(_<name>_id, name): the distinct ids, none of them null."""
+    rows = docs.select("doc_id").limit(0) if ids is None else ids.select("doc_id")
+    rows = rows.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(f"_{name}_id")).distinct().withColumn(name, F.lit(True))
+    return small(staged(rows, name))
+
+
+def classify(
+    docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, word_quantile: float = WORD_QUANTILE, contrast_quantile: float = CONTRAST_QUANTILE, toxic_ids: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, th, lang, perplexity, threshold, worst_word, word_threshold, contrast, contrast_threshold, kept) for each row.
 
-    ``trusted_ids`` (doc_id) names trusted documents; their texts, all of them, train a model per language.  A row is kept
-    if its perplexity is at most ``slack`` times the ``quantile`` of trusted rows of its language, and its worst word, by
-    the mean surprise of its letters, is no worse than the ``word_quantile`` of theirs.  Trusted rows are scored without
-    what they alone hold.  Languages without trusted rows, and null ones, take the model and the thresholds of all trusted
-    rows; with no trusted rows at all every text is kept.
+    ``trusted_ids`` (doc_id) names trusted documents of ``docs``, ``toxic_ids`` (doc_id) toxic ones; an id in both is
+    toxic.  Their texts, all of them, train the models of their language.  th is xxhash64 of the text.  A row is kept if
+    none of its scores is over its threshold, the quantile of that score among trusted rows of its language; a row as high
+    as the threshold stays.  Trusted rows are scored without what they alone hold.  The worst word counts only where there
+    is no contrast.  Languages without trusted rows, and null ones, take the models and thresholds of all languages; with
+    no trusted rows at all every text is kept.
 
     Null and empty texts have no perplexity and are not kept.  Rows that repeat a doc_id are judged each by its own text.
-    Rows of a null doc_id are judged but never trusted.  Other columns play no part.
+    Rows of a null doc_id are judged but never trusted.  Other columns play no part, whatever their names.
     """
-    trusted = trusted_ids.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().withColumn("own", F.lit(True))
-    trusted = small(staged(trusted, "trusted"))
+    light_batches(docs.sparkSession)
     mine = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    mine = mine.join(trusted, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("own", F.lit(False))).drop("_id", "own")
-    known = mine.filter("trusted and text > ''")
-    number = (F.pmod(F.xxhash64("lang"), F.lit((1 << kneser.BITS) - 1)) + 1).cast("int")
-    languages = small(staged(known.select("lang").distinct().withColumn("of_own", number), "languages"))
+    for ids, name in ((trusted_ids, "good"), (toxic_ids, "toxic")):
+        mine = mine.join(flagged(ids, docs, name), F.col("doc_id") == F.col(f"_{name}_id"), "left").drop(f"_{name}_id")
+    toxic = F.coalesce("toxic", F.lit(False))
+    mine = mine.withColumns({"trusted": F.coalesce("good", F.lit(False)) & ~toxic, "toxic": toxic}).drop("good")
+    known = mine.filter("(trusted or toxic) and text > ''")
+    number = (2 * (F.pmod(F.xxhash64("lang"), F.lit(kneser.LANGUAGES)) + 1)).cast("int")
+    languages = small(staged(known.filter("trusted").select("lang").distinct().withColumn("of_own", number), "languages"))
     modelled = mine.join(languages, "lang", "left").select("doc_id", "lang", "th", "trusted", F.coalesce("of_own", F.lit(0)).alias("model"), "text")
-    training = known.select(number.alias("model"), "th", "text")
+    side = F.col("toxic").cast("int")
+    training = known.select((number + side).alias("model"), "th", "text")
     if not modelled.filter("model = 0 and text > ''").isEmpty():
-        training = training.unionByName(known.select(F.lit(0).alias("model"), "th", "text"))
+        training = training.unionByName(known.select(side.alias("model"), "th", "text"))
     scored = staged(kneser.score_documents(modelled, training, BROADCAST_GRAMS), "scored")
+
     own = scored.filter("trusted and perplexity is not null")
-    limits = [F.percentile_approx("perplexity", quantile, 10_000), F.percentile_approx("worst_word", word_quantile, 10_000)]
-    by_lang = small(staged(own.groupBy("lang").agg(limits[0].alias("of_lang"), limits[1].alias("word_of_lang")), "limits"))
+    rules = (("perplexity", "threshold", quantile), ("worst_word", "word_threshold", word_quantile), ("contrast", "contrast_threshold", contrast_quantile))
+    limits = [F.percentile_approx(score, share, 10_000).alias(f"{limit}_of") for score, limit, share in rules]
+    by_lang = small(staged(own.groupBy("lang").agg(*limits), "limits"))
     of_all = own.agg(*limits).first()
-    judged = scored.join(by_lang, "lang", "left").withColumns({
-        "threshold": F.coalesce(F.col("of_lang"), F.lit(of_all[0]).cast("double")) * slack,
-        "word_threshold": F.coalesce(F.col("word_of_lang"), F.lit(of_all[1]).cast("double")),
-    })
-    under = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("worst_word") <= F.col("word_threshold"), F.lit(True))
-    return judged.select("doc_id", "th", "lang", "perplexity", "threshold", "worst_word", "word_threshold", (F.col("perplexity").isNotNull() & under).alias("kept"))
+    judged = scored.join(by_lang, "lang", "left").withColumns({limit: F.coalesce(f"{limit}_of", F.lit(of_all[f"{limit}_of"]).cast("double")) for _, limit, _ in rules})
+    under = lambda score, limit: F.coalesce(F.col(score) <= F.col(limit), F.lit(True))
+    second = F.when(F.col("contrast").isNotNull(), under("contrast", "contrast_threshold")).otherwise(under("worst_word", "word_threshold"))
+    kept = F.col("perplexity").isNotNull() & under("perplexity", "threshold") & second
+    return judged.select("doc_id", "th", "lang", *(c for score, limit, _ in rules for c in (score, limit)), kept.alias("kept"))
 
 
 def trusted_by_labels(labels: DataFrame) -> DataFrame:
@@ -207,15 +84,23 @@ def trusted_by_labels(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.9, slack: float = 1.75) -> DataFrame:
-    """The rows of ``docs`` that classify() keeps, with their columns."""
-    judged = classify(docs, trusted_by_labels(labels), quantile, slack).filter("not kept")
-    bad = staged(judged.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("th").alias("_th")).distinct(), "rejected")
-    same = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
-    return docs.join(small(bad), same, "left_anti")
+def toxic_by_labels(labels: DataFrame) -> DataFrame:
+    """Documents labelled toxic."""
+    return labels.filter(F.col("toxic") == 1).select("doc_id")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that classify() keeps, with their columns: rows of one doc_id and text share their fate."""
+    judged = classify(docs, trusted_by_labels(labels), quantile, toxic_ids=toxic_by_labels(labels)).filter("not kept")
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    bad = staged(judged.select(name.alias("rejected_id"), F.col("th").alias("rejected_th")).distinct(), "rejected").alias("rejected")
+    mine = docs.alias("mine")
+    own = F.coalesce(F.concat(F.lit("="), F.col("mine.doc_id").cast("string")), F.lit(""))
+    same = (own == F.col("rejected.rejected_id")) & (F.xxhash64(F.coalesce("mine.text", F.lit(""))) == F.col("rejected.rejected_th"))
+    return mine.join(small(bad).alias("rejected"), same, "left_anti").select("mine.*")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, trusted_by_labels(labels)).select("doc_id", "lang", "perplexity", "threshold", "kept")
+    return classify(docs, trusted_by_labels(labels), toxic_ids=toxic_by_labels(labels)).select("doc_id", "lang", "perplexity", "threshold", "contrast", "contrast_threshold", "kept")

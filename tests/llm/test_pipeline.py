@@ -1,5 +1,4 @@
 import importlib.util
-import random
 
 import pytest
 
@@ -59,17 +58,6 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) >= 0.93 * len(good) and sum(bad) <= 0.25 * len(bad)
 
 
-def test_quality_model_is_a_distribution(spark):
-    import numpy as np
-
-    r = random.Random(2)
-    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "mats", "a"]) for _ in range(40)) + ".", "en") for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    table = quality.log_table(quality.order_tables(quality.count_grams(docs)))
-    sums = np.exp(table.astype(float)).reshape(-1, quality.ALPHABET).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-
-
 def test_quality_odd_rows(spark):
     rows = [(1, "the cat sat on the mat. " * 5, "en"), (2, None, "en"), (3, "", None), (1, "%%% $$$ " * 20, "en"), (None, "the cat sat on a mat.", "xx")]
     docs = spark.createDataFrame([(*x, 0.5) for x in rows], "doc_id int, text string, lang string, perplexity double")
