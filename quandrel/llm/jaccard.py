@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quandrel.llm import arrays
 from quandrel.llm.components import components
-from quandrel.llm.staging import staged
+from quandrel.llm.staging import light_batches, staged
 
 #: The sketch has so many counters, in so many slices: 8 MB whatever the input.
 COUNTERS, SLICES = 1 << 22, 64
@@ -199,6 +199,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     link.  Rows that repeat a doc_id are judged each by its own text and give a row each.  A null doc_id is never a
     component_id unless its component has no other.  No rows in, no rows out.  Other columns play no part.
     """
+    light_batches(docs.sparkSession)
     mine = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows, roots = similar_classes(mine, k, num, den)
     labelled = staged(rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "th", "n", F.coalesce("root", "class_id").alias("root")), "labelled")
@@ -218,16 +219,15 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     best = mine.groupBy("root", "component_id").agg(F.min(F.struct("th", "rows")).alias("b"))
     chosen = staged(best.select(named("component_id").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "chosen")
     few = chosen.count() <= BROADCAST_ROWS  # then texts aren't shuffled
-    names = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", named("doc_id"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), named("doc_id").alias("_id"), blank.alias("blank"))
 
     def held(of: DataFrame) -> DataFrame:
-        return keyed.filter(~blank).join(F.broadcast(of) if few else of, ["_id", "_th"], "left_semi")
+        return keyed.filter("not blank").join(F.broadcast(of) if few else of, ["_id", "_th"], "left_semi")
 
     once = held(chosen.filter("_rows = 1"))
     repeated = held(chosen.filter("_rows > 1")).dropDuplicates(["_id", "_th"])
-    return once.unionByName(repeated).select(*names).unionByName(docs.filter(blank))
+    return once.unionByName(repeated).unionByName(keyed.filter("blank")).select("document.*")
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quandrel.llm import arrays
+from quandrel.llm.staging import light_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -215,6 +216,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     Null and empty texts have no ids.  Whole texts of any length are encoded.  A column named ids is replaced; others pass
     through, repeated rows too.
     """
+    light_batches(docs.sparkSession)
     mine = docs.drop("ids")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
@@ -232,6 +234,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ``ids`` added; null ids give ''."""
+    light_batches(rows.sparkSession)
     mine = rows.drop(into)
     names = np.frombuffer(b"".join(pieces.names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in pieces.names])])
     shared = rows.sparkSession.sparkContext.broadcast(names)

@@ -25,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a read of it: lost executors lose none of it."""
-    path = f"{_areas[-1] if _areas else shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a read of it: lost executors lose none of it.  ``keep``: outlives an area."""
+    path = f"{_areas[-1] if _areas and not keep else shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
