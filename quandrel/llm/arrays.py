@@ -5,7 +5,8 @@ A text's bytes are read where Arrow keeps them; nothing is done per row but what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 _powers: list[np.ndarray] = []
 
 
+def freeing(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which the worker, which Spark keeps for later tasks, gives its memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if len(_powers) and len(_powers[0]) > STEP_BYTES + 1:  # of a very long text
+            _powers.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, 0 to n at least."""
     if not _powers or len(_powers[0]) <= n:

@@ -68,7 +68,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
         for i, part in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([coded(part).tobytes()], pa.binary())], ["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    parts = docs.select("text").mapInArrow(arrays.freeing(count), "slice int, counts binary").repartition("slice").mapInArrow(arrays.freeing(add), "slice int, counts binary")
     whole = np.zeros(COUNTERS, np.uint16)
     for row in parts.collect():  # at most SLICES rows of 128 KB
         whole[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, np.uint16)
@@ -107,7 +107,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                 )
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("th long, n int, k1 long, k2 long, g1 long, g2 long, prefix array<long>, signature array<long>").fields])
-    return docs.select("doc_id", "th", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
+    return docs.select("doc_id", "th", "text").mapInArrow(arrays.freeing(run), schema).withColumn("uid", F.monotonically_increasing_id())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int32()), signed([x[0] for x in keys]), signed([x[1] for x in keys]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["n", "k1", "k2", "found"])
 
-    return wanted.select("class_id", "n", "k1", "k2").join(chosen.select("text").mapInArrow(run, "n int, k1 long, k2 long, found array<long>"), ["n", "k1", "k2"]).dropDuplicates(["class_id"]).select("class_id", "found")
+    return wanted.select("class_id", "n", "k1", "k2").join(chosen.select("text").mapInArrow(arrays.freeing(run), "n int, k1 long, k2 long, found array<long>"), ["n", "k1", "k2"]).dropDuplicates(["class_id"]).select("class_id", "found")
 
 
 def link_finder(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Callable[[DataFrame], DataFrame]:

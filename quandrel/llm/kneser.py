@@ -18,12 +18,14 @@ from quandrel.llm import arrays
 from quandrel.llm.staging import staged
 
 ORDER, BITS = 5, 21
+#: Bytes of text that one step works on.
+STEP_BYTES = 1 << 18
 BEGIN = 1
 SYMBOL = (1 << BITS) - 1
 #: Languages are numbered by hash, 1 to this; 0 is all languages.
 LANGUAGES = (1 << BITS - 2) - 1
 #: A task holds so many distinct grams before it sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Words of fewer letters aren't looked at one by one.
 WORD = 4
 #: Nats that a word must be likelier under the other model to count, and words that a text is taken to have besides its own.
@@ -57,7 +59,7 @@ def text_grams(texts: pa.Array, models: pa.Array) -> Iterator[tuple[int, int, np
     """(first row, rows, a, b, row) of successive row ranges."""
     data, offsets = arrays.texts(texts)
     numbers = models.to_numpy(zero_copy_only=False).astype(np.int64)
-    for lo, hi in arrays.steps(offsets):
+    for lo, hi in arrays.steps(offsets, STEP_BYTES):
         yield lo, hi - lo, *grams(*symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), numbers[lo:hi])
 
 
@@ -110,7 +112,7 @@ def count_grams(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged(parts(batches), {"c": np.add, "lo": np.minimum, "hi": np.maximum})
 
-    rows = training.select("model", "th", "text").mapInArrow(run, "a long, b long, c long, lo long, hi long")
+    rows = training.select("model", "th", "text").mapInArrow(arrays.freeing(run), "a long, b long, c long, lo long, hi long")
     return rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
@@ -134,7 +136,7 @@ def distinct_grams(docs: DataFrame, part: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(found.num_rows, number, np.int32))], ["a", "b", "part"])
 
     rows = docs.select("model", "text", *(["part"] if part else []))
-    return rows.mapInArrow(run, "a long, b long" + (", part int" if part else "")).distinct()
+    return rows.mapInArrow(arrays.freeing(run), "a long, b long" + (", part int" if part else "")).distinct()
 
 
 def model_of() -> Column:
@@ -311,7 +313,7 @@ def score_documents(docs: DataFrame, training: DataFrame, most: int) -> DataFram
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(columns(batch, shared.value), schema.names)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(arrays.freeing(run), schema)
     parted = staged(docs.withColumn("part", F.spark_partition_id()), "parted")
     mine = distinct_grams(parted, part=True).join(table, ["a", "b"])
 

@@ -229,7 +229,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 ids, bounds = lattice.encode(column.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in range(batch.num_columns)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], [*batch.schema.names, "ids"])
 
-    return mine.mapInArrow(run, T.StructType([*mine.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return mine.mapInArrow(arrays.freeing(run), T.StructType([*mine.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
@@ -248,7 +248,7 @@ def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
                 texts = decode_ids(shared.value, ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return mine.mapInArrow(run, T.StructType([*mine.schema.fields, T.StructField(into, T.StringType())]))
+    return mine.mapInArrow(arrays.freeing(run), T.StructType([*mine.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def op6_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -81,7 +81,7 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(own), pa.int32()), pa.ListArray.from_arrays(bounds, entries)], ["doc_id", "th", "n_bytes", "anchors"])
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("th long, n_bytes int, anchors array<struct<pos: int, gram: long, context: long>>").fields])
-    return docs.select("doc_id", "th", "text").mapInArrow(run, schema).filter(F.size("anchors") > 0).withColumn("uid", F.monotonically_increasing_id())
+    return docs.select("doc_id", "th", "text").mapInArrow(arrays.freeing(run), schema).filter(F.size("anchors") > 0).withColumn("uid", F.monotonically_increasing_id())
 
 
 def contexts_of(docs: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -166,7 +166,7 @@ def small_arrays(contexts: DataFrame, length: int) -> DataFrame:
             yield factor_flags(held, length)
 
     dealt = contexts.repartition("gram").sortWithinPartitions("gram", "context")
-    return dealt.mapInArrow(run, f"gram long, context long, earlier {SPANS}, other {SPANS}")
+    return dealt.mapInArrow(arrays.freeing(run), f"gram long, context long, earlier {SPANS}, other {SPANS}")
 
 
 def counted_blocks(contexts: DataFrame, length: int) -> DataFrame:
@@ -207,10 +207,10 @@ def counted_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
     places = staged(contexts.select("gram", "context", F.struct("doc_id", "uid", "pos").alias("place")), "places")
     schema = "gram long, context long, block int, kind int, print long"
-    coarse = staged(holders(contexts.select("gram", "context", "left", "bytes").mapInArrow(hashes(False), schema)), "coarse")
+    coarse = staged(holders(contexts.select("gram", "context", "left", "bytes").mapInArrow(arrays.freeing(hashes(False)), schema)), "coarse")
     block = coarse.groupBy("gram", "context", "block").agg(F.max(F.when(F.col("kind") == 0, F.col("other"))).alias("core"), *(F.coalesce(F.max(F.when(F.col("kind") == 1, F.col(c))), F.lit(False)).alias(name) for c, name in (("earlier", "whole"), ("other", "shared"))))
     open_ = block.filter("core and not whole").groupBy("gram", "context").agg(F.collect_list("block").alias("blocks"))
-    fine = holders(contexts.join(open_, ["gram", "context"]).select("gram", "context", "left", "bytes", "blocks").mapInArrow(hashes(True), schema)).filter("other").select("gram", "context", (F.col("kind") - 2).alias("lo"), (F.col("kind") - 2).alias("hi"), "earlier")
+    fine = holders(contexts.join(open_, ["gram", "context"]).select("gram", "context", "left", "bytes", "blocks").mapInArrow(arrays.freeing(hashes(True)), schema)).filter("other").select("gram", "context", (F.col("kind") - 2).alias("lo"), (F.col("kind") - 2).alias("hi"), "earlier")
     full = block.filter("shared").select("gram", "context", (F.col("block") * BLOCK).alias("lo"), F.least(F.col("block") * BLOCK + BLOCK - 1, F.lit(before)).alias("hi"), F.col("whole").alias("earlier"))
     span = F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
     return full.unionByName(fine).groupBy("gram", "context").agg(F.collect_list(F.when(F.col("earlier"), span)).alias("earlier"), F.collect_list(span).alias("other"))
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: str = "none") -> Da
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(arrays.freeing(cut), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
