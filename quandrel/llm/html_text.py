@@ -1,10 +1,12 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block tags.  Pass 1 decides blocks by where they stand (navigation, forms, comments, adverts;
-an article) and, where the page names no article, by length, link density and density of stop words.  A container's
-name is evidence only: an article below it or, where nothing else is text, the densities overrule it.  Short blocks that
-those rules leave open inherit, in pass 2, the label of the nearest decided neighbour; of two as near, the one in the same
-container.  Spark deals the pages; a page is parsed by a small scanner in one pass.
+A page is cut into blocks at block tags.  Pass 1 decides blocks by where they stand (navigation, forms, comments, adverts),
+and by length, link density and density of stop words: on a page without an article all blocks, on one with an article
+those whose names speak against them and its lists.  A container's name is evidence only: an article below it, the
+densities of its text, or a page on which nothing else is text overrule it.  Short blocks that those rules leave open
+inherit, in pass 2, the label of the nearest decided neighbour; of two as near, the one in the same container.  In a
+language whose stop words aren't known, length and links decide.  Spark deals the pages; a page is parsed by a small
+scanner, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ MARKS = {
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchform", "form", "widget", "contentinfo", "complementary",
 }
+# Tags whose text goes to the end of the page where they aren't closed.
+SWALLOW = {"script", "style", "textarea", "iframe", "noscript", "template"}
 # Parts of a name that say that it is about the page's layout: at its begin; at its end, outside an article.
 WITH, LAYOUT = {"has", "no", "with", "without"}, {"wrap", "wrapper", "container", "layout", "page", "content", "results", "inner"}
+# What comes last in names of parts that aren't text, after what they are for.
+PARTS = {"list", "links", "link", "buttons", "button", "bar", "box", "area", "items", "item", "icons", "posts", "articles", "stories", "widget", "block", "panel", "wrap", "wrapper", "container"}
 # What stands above a block: nothing, a name of the layout with a mark, a mark, what takes it away for good.
 FREE, WEAK, MARKED, GONE = range(4)
 COMMENT_MARKS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "ad", "ads", "advert", "promo", "sponsored", "related", "teaser"}
@@ -43,19 +49,20 @@ STOP_WORDS = set(
     " el los las y una por con para su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Rules:
-    """Thresholds of pass 1 for pages that name no article: a block of ``long`` characters and ``stop`` is text."""
+    """Thresholds of pass 1: a block of ``long`` characters and ``stop`` is text; ``menu`` items that are links are a menu."""
 
     long: int = 80
     short_stop: float = 0.3
     stop: float = 0.15
     links: float = 0.4
+    menu: int = 3
 
 
 @dataclass
@@ -66,6 +73,7 @@ class Block:
     article: bool
     heading: bool
     container: int
+    item: bool = False
     doubt: int = FREE
     label: bool | None = None
 
@@ -83,27 +91,34 @@ def doubt_of(attributes: str, article: bool) -> int:
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = [x.lower() for x in re.split(r"[^A-Za-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)) if x]
             if MARKS.intersection(parts) or COMMENT_MARKS.intersection(parts):
+                # what a name is comes last, what it is for before: "site-footer" is a footer, "share-text" is text
+                head = next((x for x in reversed(parts) if x not in LAYOUT), parts[-1])
+                known = MARKS | COMMENT_MARKS
                 if parts[0] in WITH or (parts[-1] in LAYOUT and not article and not COMMENT_MARKS.intersection(parts)):
                     most = max(most, WEAK)
-                elif MARKS.intersection(parts):
-                    most = max(most, GONE if COMMENT_MARKS.intersection(parts) else MARKED)
+                elif COMMENT_MARKS.intersection((parts[0], head)):
+                    most = GONE
+                else:
+                    most = max(most, MARKED if head in known or len(parts) == 2 and parts[0] in known and parts[1] in PARTS else WEAK)
     return most
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
-    closing = {t: page.lower().rfind(f"</{t}") for t in AWAY | {"header"}}
+    lower = page.lower()
+    closing = {t: lower.rfind(f"</{t}") for t in AWAY | RAW | {"header"}}
     out: list[Block] = []
     stack: list[tuple[str, int, bool, int]] = [("", FREE, False, 0)]  # tag, doubt, in an article, number
     parts: list[str] = []
-    links, in_link, heading, number, at = 0, False, False, 0, 0
+    links, in_link, heading, number, at, leaf, item = 0, False, False, 0, 0, FREE, False
 
     def flush() -> None:
         nonlocal links, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             _, doubt, article, own = stack[-1]
-            out.append(Block(text, links, doubt == GONE, article, heading, own, doubt))
+            doubt = max(doubt, leaf)
+            out.append(Block(text, links, doubt == GONE, article, heading, own, item, doubt))
         parts.clear()
         links, heading = 0, False
 
@@ -120,10 +135,10 @@ def blocks_of(page: str) -> list[Block]:
         tag, end = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not end and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at) if closing[tag] >= at else None
                 if close:
                     at = close.end()
-                elif tag not in ("head", "title"):
+                elif tag in SWALLOW:
                     at = len(page)
             continue
         if tag == "a":
@@ -133,6 +148,8 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             heading = tag[0] == "h" and tag[1:].isdigit() and not end
+            leaf = doubt_of(m[3], stack[-1][2]) if tag not in CONTAINERS and not end else FREE
+            item = tag == "li" and not end or item and tag not in CONTAINERS
             if tag in CONTAINERS and not end:
                 number += 1
                 _, doubt, article, _ = stack[-1]
@@ -156,46 +173,66 @@ def blocks_of(page: str) -> list[Block]:
 def label(blocks: list[Block], rules: Rules) -> None:
     """Decide every block: pass 1 by rules, pass 2 by the nearest decided neighbour."""
     named = any(b.article and b.doubt < MARKED for b in blocks)
+    density = [stop_density(b.text) for b in blocks]
+    spoken = any(d >= rules.stop and len(b.text) >= rules.long and not b.away for b, d in zip(blocks, density))
 
-    def by_density(b: Block, links: float) -> None:
-        words = WORDS.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    def by_density(b: Block, stop: float, links: float) -> bool | None:
         if b.link_chars > links * len(b.text):
-            b.label = False
-        elif len(b.text) >= rules.long:
-            b.label = stop >= rules.stop or None
-        elif not words:
-            b.label = False
-        elif stop >= rules.short_stop and len(b.text) >= rules.long // 2 and not b.heading:
-            b.label = True
-
-    for b in blocks:
+            return False
+        if len(b.text) >= rules.long:
+            return True if stop >= rules.stop or not spoken else None
+        if not WORDS.search(b.text):
+            return False
+        return True if stop >= rules.short_stop and len(b.text) >= rules.long // 2 and not b.heading else None
+
+    listed = menus(blocks, rules)
+    for i, (b, stop) in enumerate(zip(blocks, density)):
         if b.away:
             b.label = False
-        elif named:
-            b.label = b.article and b.doubt < MARKED
+        elif named:  # an article is text, but for lists of links and parts whose name and densities both speak against them
+            b.label = b.article and b.doubt < MARKED and not listed[i]
+            if b.label and b.doubt == WEAK:
+                b.label = bool(by_density(b, stop, rules.links / 2))
         elif b.doubt == MARKED:
             b.label = False
         else:
-            by_density(b, rules.links / (2 if b.doubt == WEAK else 1))
+            b.label = by_density(b, stop, rules.links / (2 if b.doubt == WEAK else 1))
     if not any(b.label for b in blocks):  # then the text may stand in a wrapper with a misleading name
-        for b in blocks:
+        for b, stop in zip(blocks, density):
             if b.doubt == MARKED and not named:
-                b.label = None
-                by_density(b, rules.links / 2)
-    decided = [i for i, b in enumerate(blocks) if b.label is not None]
-    chosen = {}
-    for i, b in enumerate(blocks):
-        if b.label is None:
-            before = max((j for j in decided if j < i), default=None)
-            after = min((j for j in decided if j > i), default=None)
-            near = sorted((abs(i - j), blocks[j].container != b.container, j < i, j) for j in (before, after) if j is not None)
-            if b.heading and after is not None and after - i <= 2:
-                chosen[i] = blocks[after].label
-            else:
-                chosen[i] = blocks[near[0][3]].label if near else True
-    for i, x in chosen.items():
-        blocks[i].label = x
+                b.label = by_density(b, stop, rules.links / 2)
+    labels = [b.label for b in blocks]
+    before, last = [], None
+    for i, x in enumerate(labels):
+        before.append(last)
+        last = i if x is not None else last
+    after: int | None = None
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        if labels[i] is not None:
+            after = i
+        elif b.heading and after is not None and after - i <= 2:
+            b.label = labels[after]
+        else:
+            near = sorted((abs(i - j), blocks[j].container != b.container, j < i, j) for j in (before[i], after) if j is not None)
+            b.label = labels[near[0][3]] if near else True
+
+
+def stop_density(text: str) -> float:
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def menus(blocks: list[Block], rules: Rules) -> list[bool]:
+    """Which blocks are items of lists, of ``rules.menu`` in a row or more, that are links and nothing else."""
+    out = [b.item and b.link_chars >= 0.9 * len(b.text) for b in blocks]
+    start = 0
+    for i in range(len(out) + 1):
+        if i == len(out) or not out[i]:
+            if i - start < rules.menu:
+                out[start:i] = [False] * (i - start)
+            start = i + 1
+    return out
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
