@@ -7,9 +7,10 @@ Plan.
    and groups are what the large shuffle by shingle carries; shingles of one group only go, the rest expand to classes
    (distinct sets; copies of a document are one class).
 3. Bounds on size and on position, then on the overlap by 1024-bit parity signatures, drop pairs; the sets of what is left
-   are compared.  First each class meets the smallest class under each of its shingles; the links found are components.
-   Then only pairs that share a shingle and are in different components are compared, so that a large group of near
-   copies is never expanded into all pairs, while no pair that could join two components is left out.
+   are compared.  First each class meets the smallest set under each of its shingles, which has least besides a passage that
+   they share; the links found are components.  Then only pairs that share a shingle and are in different components are
+   compared, shingles of the same classes counting as one, so that a large group of near copies is never expanded into all
+   pairs, while no pair that could join two components is left out.
 
 No step has a cap.  Sets are 64-bit hashes of shingles.
 """
@@ -127,14 +128,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def link_finder(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
     """A function from pairs (a, b) of classes to those that link."""
-    needed = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
-
     def side(x: str) -> DataFrame:
         return classes.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
 
     def find(pairs: DataFrame) -> DataFrame:
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        left = staged(pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("na") + F.col("nb") - apart) / 2 >= needed).select("a", "b", "na", "nb"), "pairs")
+        left = staged(pairs.join(side("a"), "a").join(side("b"), "b").filter(could_overlap(num, den)).select("a", "b", "na", "nb"), "pairs")
         ends = left.select(F.col("a").alias("class_id")).union(left.select("b")).distinct()
         sets = staged(sets_of(docs, classes.join(ends, "class_id", "left_semi"), k), "sets")
         both = left.join(sets.select(F.col("class_id").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("found").alias("fb")), "b")
@@ -151,13 +149,30 @@ def could_link(num: int, den: int) -> Column:
     return size & (most * (num + den) >= num * (F.col("na") + F.col("nb")))
 
 
+def could_overlap(num: int, den: int) -> Column:
+    """A bound on the common shingles of sets of sizes na, nb from their parity signatures sa, sb."""
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (F.col("na") + F.col("nb") - apart) / 2 >= F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
+
+
+def one_of_alike(lists: DataFrame) -> DataFrame:
+    """``lists`` (token, class_id, n, pos, root) with one token for all that the same classes have, as those of a passage.
+
+    The first of them in the global order stands for all, so a pair has the positions of its first common one.
+    """
+    of = lists.groupBy("token").agg(F.count("*").alias("uses"), F.bit_xor(F.xxhash64("class_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(5), "class_id")).alias("h2"))
+    least = staged(of, "alike")
+    named = lists.select("token", "class_id", "n", "pos", "root").join(least, "token").withColumn("group", F.xxhash64("uses", "h1", "h2"))
+    return named.groupBy("group", "class_id").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("root").alias("root")).withColumnRenamed("group", "token")
+
+
 def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): a profile row for each document with its class_id; (node, root) of the classes that have links."""
     rows = staged(profiles(docs, sketch(docs, k), k, num, den), "profiles")
     some = rows.filter("n > 0")
-    keyed = some.groupBy("n", "k1", "k2").agg(F.min("uid").alias("class_id"))
+    keyed = staged(some.groupBy("n", "k1", "k2").agg(F.min("uid").alias("class_id")), "sets-of")  # as a table, so that AQE can split the copies of one text
     classes = staged(some.join(keyed.select("class_id"), F.col("uid") == F.col("class_id")).select("class_id", "th", "n", "k1", "k2", "g1", "g2", "signature"), "classes")
-    grouped = classes.groupBy("n", "g1", "g2").agg(F.min("class_id").alias("group_id"), F.count("*").alias("size"))
+    grouped = staged(classes.groupBy("n", "g1", "g2").agg(F.min("class_id").alias("group_id"), F.count("*").alias("size")), "groups")
     members = classes.select("class_id", "n", "g1", "g2").join(grouped, ["n", "g1", "g2"]).select("group_id", "class_id", "n", "size")
     prefixes = some.select("uid", "n", "prefix").join(grouped.select("group_id"), F.col("uid") == F.col("group_id")).select("group_id", "n", F.posexplode("prefix").alias("pos", "token"))
     # of two groups under a shingle, sizes too far apart can't link; more groups wait for the bounds on pairs
@@ -167,8 +182,9 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     inside = members.filter("size > 1").select(F.xxhash64("group_id", "n").alias("token"), "class_id", "n", F.lit(0).alias("pos"))
     lists = staged(met.unionByName(inside), "lists")
 
-    first = lists.groupBy("token").agg(F.min("class_id").alias("a"))
-    hubs = lists.join(first, "token").filter("class_id = a").select("token", "a", F.col("n").alias("na"), F.col("pos").alias("pa"))
+    # the smallest set under a shingle has least besides it: what else shares a passage is likest to it
+    first = lists.groupBy("token").agg(F.min(F.struct(F.col("n").alias("na"), F.col("class_id").alias("a"), F.col("pos").alias("pa"))).alias("hub"))
+    hubs = staged(first.select("token", "hub.*"), "first-hubs")
     star = lists.select("token", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "token").filter("a <> b").filter(could_link(num, den)).select("a", "b").distinct()
     find = link_finder(docs, classes, k, num, den)
     tried = staged(star, "star")
@@ -176,14 +192,16 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     roots = components(links)
 
     at = lists.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    mixed = staged(at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "mixed")
     # sizes of a pair that may link differ by less than one band, so each band meets itself and the next
     band = F.floor(F.ln("n") / math.log(den / num)).cast("int")
-    left = staged(at.join(mixed, "token").withColumn("band", band), "mixed")
-    a = left.select("token", "band", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    b = left.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    apart = one_of_alike(staged(at.join(mixed, "token"), "apart"))
+    left = staged(apart.join(classes.select("class_id", "signature"), "class_id").withColumn("band", band), "signed")
+    a = left.select("token", "band", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("signature").alias("sa"))
+    b = left.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("signature").alias("sb"))
     ordered = F.expr("(na < nb or (na = nb and a < b)) and ra <> rb")
-    rest = a.join(b, ["token", "band"]).filter(ordered).filter(could_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    met_again = a.join(b, ["token", "band"]).filter(ordered).filter(could_link(num, den)).filter(could_overlap(num, den))
+    rest = met_again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = find(rest)
     return rows.join(keyed, ["n", "k1", "k2"], "left").select("doc_id", "th", "n", "class_id"), components(links.union(more))
 

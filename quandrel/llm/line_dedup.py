@@ -53,7 +53,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """
     lines = staged(line_hashes(docs.filter(F.col("doc_id").isNotNull()), min_chars), "lines")
     occurrences = lines.select("doc_id", "row_hash", F.inline("lines")).drop("long")
-    shared = shared_lines(occurrences.drop("row_hash"), min_docs)
+    shared = staged(shared_lines(occurrences.drop("row_hash"), min_docs), "shared")  # as a table, so that AQE can split a common line
     gone = occurrences.join(shared, ["h1", "h2"]).filter(F.col("doc_id") < F.col("last_doc"))
     words = gone.groupBy("doc_id", "row_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return words.groupBy("doc_id", "row_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
