@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.freq import Freq
 from quandrel.operators.forecast import align
-from quandrel.operators.series import KEY, drop_null_items, split_roles, tail
+from quandrel.operators.series import KEY, drop_null_items, role, split_roles, tail
 
 Window = pd.DateOffset | pd.Timedelta
 
@@ -23,12 +23,16 @@ def fold(test_start: datetime, train: Window | None = None, val: Window | None =
     return {"test_start": at(start), "test_end": at(start + test) if test is not None else None, "val_start": at(start - val) if val is not None else at(start), "train_start": at(start - train) if train is not None else None}
 
 
-def rolling_folds(test_start: datetime, test_end: datetime, step: Window = pd.DateOffset(years=1), train: Window | None = None, val: Window | None = None) -> list[dict]:
-    """Windows that start at ``test_start`` and every ``step`` after it, while before ``test_end``."""
+def rolling_folds(test_start: datetime, test_end: datetime, step: Window = pd.DateOffset(years=1), train: Window | None = None, val: Window | None = None, clip: bool = True) -> list[dict]:
+    """Windows that start at ``test_start`` and every ``step`` after it, while before ``test_end``.
+
+    The last one ends at ``test_end``; without ``clip`` it runs its full length.
+    """
     folds, at = [], pd.Timestamp(test_start)
     while at < pd.Timestamp(test_end):
         one = fold(at, train, val, step)
-        one["test_end"] = min(one["test_end"], pd.Timestamp(test_end).to_pydatetime())
+        if clip:
+            one["test_end"] = min(one["test_end"], pd.Timestamp(test_end).to_pydatetime())
         folds.append(one)
         at = at + step
     return folds
@@ -85,17 +89,36 @@ class Backtest:
 
     # whole runs ----------------------------------------------------------------------------------------------------
     def run(self, series: DataFrame, bounds: dict) -> DataFrame:
-        """(item_id, timestamp, lead_time, q, model) of the test rows; items without any test target are left out."""
+        """(item_id, timestamp, lead_time, q, model) of the test rows; items without any test target are left out.
+
+        Forecasts look back at all earlier data, whatever the train window.  No test target at all is an error.
+        """
         rows = self.split(series, bounds)
         test = drop_null_items(rows.filter("role = 'test'").drop("role"))
-        params = self.train(rows)
-        forecasts = self.predict(test, rows.filter("role <> 'test'").drop("role"), params)
-        return self.apply(forecasts, self.train_postprocessors(rows, params)) if self.postprocessors else forecasts.withColumn("model", F.lit(self.name))
+        if test.isEmpty():
+            raise ValueError("no target in the test window")
+        earlier = series.filter(F.col("timestamp") < F.lit(bounds["test_start"]).cast("timestamp_ntz"))
+        return self._forecast(rows, test, earlier)
 
     def run_folds(self, series: DataFrame, folds: list[dict]) -> DataFrame:
-        """The union of run() over folds, with fold_id; items may differ by fold."""
-        out = None
-        for i, bounds in enumerate(folds):
-            one = self.run(series, bounds).withColumn("fold_id", F.lit(i))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """run() over folds, with fold_id, in one plan: a fold is part of the item's key; items may differ by fold.
+
+        Each row goes to the folds that test it or may look back at it.
+        """
+        edge = lambda x: F.lit(x).cast("timestamp_ntz")
+        table = F.array(*(F.struct(F.lit(i).alias("fold_id"), *(edge(f.get(k) or (f["test_start"] if k == "val_start" else None)).alias(k) for k in ("test_start", "test_end", "val_start", "train_start"))) for i, f in enumerate(folds)))
+        ts = F.col("timestamp")
+        dealt = series.select(*KEY, "target", F.explode(F.filter(table, lambda f: f["test_end"].isNull() | (ts < f["test_end"]))).alias("f"))
+        bounds = [F.col(f"f.{k}") for k in ("test_start", "test_end", "val_start", "train_start")]
+        keyed = dealt.select(F.struct(F.col("f.fold_id").alias("fold_id"), F.col("item_id")).alias("item_id"), "timestamp", "target", role(ts, *bounds).alias("role"), (ts < F.col("f.test_start")).alias("earlier"))
+        test = drop_null_items(keyed.filter("role = 'test'").drop("role", "earlier"))
+        found = {r[0] for r in test.select("item_id.fold_id").distinct().collect()}  # at most one row a fold
+        if missing := [i for i in range(len(folds)) if i not in found]:
+            raise ValueError(f"no target in the test windows of folds {missing}")
+        out = self._forecast(keyed.filter("role is not null").drop("earlier"), test, keyed.filter("earlier").drop("role", "earlier"))
+        return out.withColumns({"fold_id": F.col("item_id.fold_id"), "item_id": F.col("item_id.item_id")})
+
+    def _forecast(self, rows: DataFrame, test: DataFrame, earlier: DataFrame) -> DataFrame:
+        params = self.train(rows)
+        forecasts = self.predict(test, earlier, params)
+        return self.apply(forecasts, self.train_postprocessors(rows, params)) if self.postprocessors else forecasts.withColumn("model", F.lit(self.name))

@@ -222,7 +222,8 @@ def quantiles_of_context(levels=LEVELS, leads=(1,)) -> Callable[[np.ndarray], np
         with np.errstate(all="ignore"):
             q = np.full((len(x), len(levels)), np.nan)
             some = ~np.isnan(x).all(axis=1)
-            q[some] = np.nanquantile(x[some], levels, axis=1).T
+            if some.any():
+                q[some] = np.nanquantile(x[some], levels, axis=1).T
         return np.repeat(q[:, :, None], len(leads), axis=2)
 
     return model

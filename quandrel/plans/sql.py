@@ -135,8 +135,8 @@ ORACLES = {
     "split_roles": f"""WITH {ORDERS} SELECT item_id, timestamp, CASE WHEN timestamp >= TIMESTAMP '1999-01-01' THEN 'test' WHEN timestamp >= TIMESTAMP '1998-01-01' THEN 'val' ELSE 'train' END AS role
       FROM series WHERE timestamp >= TIMESTAMP '1996-01-01' AND timestamp < TIMESTAMP '2000-01-01'""",
     "split_by_time": f"WITH {ORDERS} SELECT timestamp >= TIMESTAMP '1998-06-01' AS after, count(*) AS n, count(target) AS n_known FROM series GROUP BY 1",
-    "drop_null_items": f"WITH {ORDERS}, t AS (SELECT * FROM series WHERE timestamp < TIMESTAMP '1995-01-04') SELECT * FROM t WHERE item_id IN (SELECT item_id FROM t WHERE target IS NOT NULL)",
-    "context_tail": f"""WITH {ORDERS}, d AS (SELECT * FROM series WHERE timestamp >= TIMESTAMP '2001-01-01' AND item_id < '4'),
+    "drop_null_items": f"WITH {ORDERS}, t AS (SELECT item_id, timestamp, CASE WHEN NOT starts_with(item_id, '1') THEN target END AS target FROM series) SELECT * FROM t WHERE item_id IN (SELECT item_id FROM t WHERE target IS NOT NULL)",
+    "context_tail": f"""WITH {ORDERS}, d AS (SELECT * FROM series WHERE timestamp >= TIMESTAMP '2001-01-01'),
       e AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY timestamp DESC) AS n FROM series WHERE timestamp < TIMESTAMP '2001-01-01' AND item_id IN (SELECT item_id FROM d))
       SELECT item_id, timestamp, target, false AS is_origin FROM e WHERE n <= 30 UNION ALL SELECT *, true FROM d""",
     "last_row": f"WITH {EVENTS} SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp DESC) = 1",
@@ -209,6 +209,7 @@ ORACLES = {
       g AS (SELECT lead_time, count(d) FILTER (WHERE NOT after) AS n0, count(d) FILTER (WHERE after) AS n1, avg(d) FILTER (WHERE NOT after) AS m0, avg(d) FILTER (WHERE after) AS m1, var_pop(d) FILTER (WHERE NOT after) AS v0, var_pop(d) FILTER (WHERE after) AS v1 FROM d GROUP BY 1)
       SELECT lead_time, n0, n1, round(m0, 2) AS before, round(m1 - m0, 2) AS change, round(sqrt(n0 * v0 / pow(n0 - 1, 2) + n1 * v1 / pow(n1 - 1, 2)), 2) AS se, round((m1 - m0) / sqrt(n0 * v0 / pow(n0 - 1, 2) + n1 * v1 / pow(n1 - 1, 2)), 6) AS t FROM g""",
     "backtest_single": backtest(FOLDS[:1]),
+    "backtest_train_window": backtest(FOLDS[:1]),
     "backtest_rolling": backtest(FOLDS),
     "supplier_rolling": """WITH src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL)
       SELECT item_id, timestamp, round(quantile_cont(target, 0.1) OVER w, 6) AS q10, round(quantile_cont(target, 0.5) OVER w, 6) AS q50, round(quantile_cont(target, 0.9) OVER w, 6) AS q90

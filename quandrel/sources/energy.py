@@ -20,18 +20,18 @@ def number(text: Column) -> Column:
 def energy_series(spark: SparkSession, paths: list[str], chosen: list[str] | None = None, dropped: tuple[str, ...] = ("End date",), freq: Freq = Freq("hour")) -> tuple[DataFrame, DataFrame, Freq]:
     """(long series, mapping of item_id to column, freq) of files in the order of ``paths``.
 
-    Separator ';', thousands ',', missing '-', times like 'Jan 1, 2015 12:15 AM' under 'Start date'.  Of rows with one time
-    the first by file and line stays.  Item ids count the columns in file order; ``chosen`` picks columns by name.
+    Separator ';', thousands ',', missing '-', times like 'Jan 1, 2015 12:15 AM' under 'Start date'.  Columns are matched by
+    name, whatever their order in a file; one that a file lacks is null there.  Of rows with one time the first by file and
+    line stays.  Item ids count the columns in the order in which files name them; ``chosen`` picks columns by name.
     """
-    header = spark.read.text(paths[0]).first()[0].lstrip("﻿").split(";")
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    parts = []
+    header, rows = [], None
     for i, path in enumerate(paths):
+        own = [h.strip() for h in spark.read.text(path).first()[0].lstrip("﻿").rstrip("\r").split(";")]
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in own])
         raw = spark.read.option("sep", ";").option("header", True).schema(schema).csv(path)
-        parts.append(raw.withColumns({"_file": F.lit(i), "_line": F.monotonically_increasing_id()}))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        part = raw.withColumns({"_file": F.lit(i), "_line": F.monotonically_increasing_id()})
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        header += [h for h in own if h not in header]
     names = [h for h in header if h != "Start date" and h not in dropped]
     if chosen is not None:
         if missing := [c for c in chosen if c not in names]:
