@@ -15,11 +15,13 @@ from quandrel.functions.transform import Transform, yeo_johnson, yeo_johnson_inv
 from quandrel.operators import calibrate, compare, forecast, metrics, predictors, series
 from quandrel.operators.backtest import Backtest, fold, rolling_folds
 from quandrel.plans.sql import ORACLES
-from quandrel.sources import rates, tables
+from quandrel.sources import energy, rates, store, tables
 from quandrel.sources.tables import BDAY, DAY, HOUR
 
 __all__ = ["ORACLES", "QUERIES"]
 EVENT_LEADS, DAY_LEADS = (1, 6, 24), (1, 7)
+CHOSEN_EVENTS = ["click", "purchase"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def r(c: Column | str, d: int = 6) -> Column:
@@ -259,6 +261,69 @@ FOLDS = rolling_folds(datetime(1999, 1, 1), datetime(2001, 6, 1), YEAR, None, YE
 SHORT_TRAIN = rolling_folds(datetime(1999, 1, 1), datetime(2000, 1, 1), YEAR, pd.DateOffset(days=370), YEAR)
 
 
+def calibrated_on(source: str):
+    """The first fold, calibrated on its train rows, or on its train and val rows."""
+    def query(spark, d):
+        run = Backtest(predictors.RollingQuantiles(leads=DAY_LEADS, last_n=30, freq=DAY), {"eqc": calibrate.EmpiricalOffset()}, DAY, calibration=source)
+        out = run.run(tables.lineitem_daily(spark, d), FOLDS[0])
+        return out.select("model", "item_id", "timestamp", "lead_time", r(F.col("q")[0]).alias("q10"), r(F.col("q")[4]).alias("q50"), r(F.col("q")[8]).alias("q90"))
+
+    return query
+
+
+# views, filters and files -----------------------------------------------------------------------------------------------
+def factorized(spark, d):
+    coded, mapping = series.factorize(tables.orders_rows(spark, d), PRIORITIES)
+    return coded.join(F.broadcast(mapping), "item_id")
+
+
+def chosen_scores(spark, d):
+    """Scores of two items and two leads: filters of a metric."""
+    return metrics.crps_table(metrics.crps_rows(metrics.chosen(event_aligned(spark, d), CHOSEN_EVENTS, [6, 24]), LEVELS, max(EVENT_LEADS))).withColumn("crps", r("crps"))
+
+
+def replaced_horizon(spark, d):
+    s = tables.orders_daily(spark, d)
+    short = predictors.RollingQuantiles(leads=DAY_LEADS, last_n=30).predict(s)
+    return quantile_rows(forecast.put(short, predictors.RollingQuantiles(leads=(7, 14), last_n=100).predict(s), ["lead_time"]))
+
+
+def stored_forecasts(spark, d):
+    s, root = tables.lineitem_daily(spark, d), store.scratch_folder(spark, "runs")
+    for run, n in (("short", 20), ("long", 50)):
+        f = predictors.RollingQuantiles(leads=DAY_LEADS, last_n=n, freq=DAY).predict(s)
+        store.save(f.withColumn("model", F.lit("roll")), root, "forecasts", run)
+    return store.discovered(spark, root).filter("q is not null").select("key", "item_id", "timestamp", "lead_time", r(F.col("q")[4]).alias("q50"))
+
+
+def eqc_reapplied(spark, d):
+    """Offsets written as a run's parameters, and applied as they are read back."""
+    _, f, aligned = line_forecasts(spark, d)
+    post, root = calibrate.EmpiricalOffset(), store.scratch_folder(spark, "runs")
+    store.save(post.fit(aligned), root, "params", "first")
+    return quantile_rows(post.apply(f, store.params_of(spark, root, "first")))
+
+
+def stored_report(spark, d):
+    root = store.scratch_folder(spark, "runs")
+    store.save_report(spark, root, "first", {"leads": list(DAY_LEADS)}, model_mean(spark, d).select("model", "crps"))
+    leads = ",".join(map(str, store.load_config(spark, root, "first")["leads"]))
+    return store.load(spark, root, "metrics").select("run", "model", r("crps").alias("crps"), F.lit(leads).alias("leads"))
+
+
+def energy_files(spark, d):
+    """Daily sums written as wide CSVs in two folders, whose columns stand in different orders, and read as energy files."""
+    root = store.scratch_folder(spark, "energy")
+    shown = [F.coalesce(F.format_number(c, 6), F.lit("-")).alias(c) for c in ("A", "N", "R")]
+    wide = tables.lineitem_rows(spark, d).groupBy("timestamp").pivot("item_id", ["A", "N", "R"]).agg(F.first("target"))
+    before, after = series.split_by_time(wide, datetime(1998, 1, 1))
+    for name, rows, columns in (("1", before, shown), ("2", after, shown[::-1])):
+        start = F.date_format("timestamp", energy.TIME_FORMAT).alias("Start date")
+        rows.select(start, F.lit("x").alias("End date"), *columns).write.option("sep", ";").option("header", True).csv(f"{root}/{name}")
+    s, mapping, _ = energy.energy_series(spark, [f"{root}/1", f"{root}/2"])
+    return s.join(F.broadcast(mapping), "item_id").select("item_id", "name", "timestamp", r("target").alias("target"))
+
+
 def supplier_rolling(spark, d):
     q = predictors.rolling_quantiles(tables.lineitem_rows(spark, d, "l_suppkey"), ["item_id"], (0.1, 0.5, 0.9), 20)
     return q.select("item_id", "timestamp", *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
@@ -323,6 +388,16 @@ QUERIES = {
     "backtest_single": lambda spark, d: backtest_rows(spark, d, FOLDS[:1]),
     "backtest_rolling": lambda spark, d: backtest_rows(spark, d, FOLDS),
     "supplier_rolling": supplier_rolling,
+    "backtest_on_train": calibrated_on("train"),
+    "backtest_on_train_val": calibrated_on("train_val"),
+    "factorized": factorized,
+    "chosen_scores": chosen_scores,
+    "lead_times": lambda spark, d: forecast.lead_times(event_forecasts(spark, d)[1]),
+    "replaced_horizon": replaced_horizon,
+    "stored_forecasts": stored_forecasts,
+    "eqc_reapplied": eqc_reapplied,
+    "stored_report": stored_report,
+    "energy_files": energy_files,
     "qr_calibrated": lambda spark, d: calibrated(spark, d, calibrate.QuantileRegressionCalibration()),
     "mle_calibrated": lambda spark, d: calibrated(spark, d, calibrate.GaussianCalibration()),
     "gb_calibrated": lambda spark, d: calibrated(spark, d, calibrate.BoostedCalibration()),

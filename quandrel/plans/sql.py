@@ -75,12 +75,16 @@ MODEL_CRPS = f"{MODELS}, {trimmed(7, by='model, ')}"
 MODEL_TABLE = f"""{MODEL_CRPS}, il AS (SELECT model, item_id, lead_time, avg(crps) AS c FROM tr GROUP BY ALL), ml AS (SELECT model, lead_time, avg(c) AS c FROM il GROUP BY ALL)"""
 
 
-def backtest(bounds: list[tuple[str, str, str]]) -> str:
-    """Rolling quantiles of 30 values with empirical offsets from a cold val year; folds are (test start, test end, val start)."""
+def backtest(bounds: list[tuple[str, str, str]], source: str = "val", shown: str = "fold_id, ") -> str:
+    """Rolling quantiles of 30 values with empirical offsets from a cold val year; folds are (test start, test end, val start).
+
+    With source train, the rows before that year calibrate; with train_val, all before the test.
+    """
     parts = []
     for k, (start, end, val) in enumerate(bounds):
+        rows = {"val": f"timestamp >= TIMESTAMP '{val}' AND timestamp < TIMESTAMP '{start}'", "train": f"timestamp < TIMESTAMP '{val}'", "train_val": f"timestamp < TIMESTAMP '{start}'"}[source]
         parts.append(
-            f"""val{k} AS (SELECT * FROM series WHERE timestamp >= TIMESTAMP '{val}' AND timestamp < TIMESTAMP '{start}'),
+            f"""val{k} AS (SELECT * FROM series WHERE {rows}),
 {rolled(30, f'val{k}', f'vs{k}')}, {led((1, 7), f'vs{k}', f'vf{k}')}, {aligned('day', f'vf{k}', f'val{k}', f'va{k}')},
 vn{k} AS (SELECT *, row_number() OVER (PARTITION BY item_id, lead_time ORDER BY timestamp) AS rn FROM va{k}),
 vo{k} AS (SELECT item_id, lead_time, [{', '.join(f'quantile_cont(target - q[{i}], {i / 10})' for i in range(1, 10))}] AS o FROM vn{k} WHERE rn > 200 AND {COMPLETE} GROUP BY ALL),
@@ -91,7 +95,7 @@ out{k} AS (SELECT {k} AS fold_id, 'raw' AS model, item_id, timestamp, lead_time,
   SELECT {k}, 'eqc', item_id, timestamp, lead_time, CASE WHEN o IS NULL THEN q ELSE {SHIFTED} END FROM raw{k} LEFT JOIN vo{k} USING (item_id, lead_time))"""
         )
     union = " UNION ALL ".join(f"SELECT * FROM out{k}" for k in range(len(bounds)))
-    return f"WITH {LINES}, {', '.join(parts)} SELECT fold_id, model, item_id, timestamp, lead_time, round(q[1], 6) AS q10, round(q[5], 6) AS q50, round(q[9], 6) AS q90 FROM ({union})"
+    return f"WITH {LINES}, {', '.join(parts)} SELECT {shown}model, item_id, timestamp, lead_time, round(q[1], 6) AS q10, round(q[5], 6) AS q50, round(q[9], 6) AS q90 FROM ({union})"
 
 
 FOLDS = [("1999-01-01", "2000-01-01", "1998-01-01"), ("2000-01-01", "2001-01-01", "1999-01-01"), ("2001-01-01", "2001-06-01", "2000-01-01")]
@@ -211,6 +215,20 @@ ORACLES = {
     "backtest_single": backtest(FOLDS[:1]),
     "backtest_train_window": backtest(FOLDS[:1]),
     "backtest_rolling": backtest(FOLDS),
+    "backtest_on_train": backtest(FOLDS[:1], "train", ""),
+    "backtest_on_train_val": backtest(FOLDS[:1], "train_val", ""),
+    "factorized": f"""WITH {ORDER_ROWS}, n AS (SELECT unnest(range(5)) AS item_id, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS name)
+      SELECT CAST(n.item_id AS BIGINT) AS item_id, name, timestamp, target FROM src JOIN n ON src.item_id = n.name""",
+    "chosen_scores": f"{EVENT_CRPS} SELECT item_id, lead_time, round(crps, 6) AS crps FROM il WHERE item_id IN ('click', 'purchase') AND lead_time IN (6, 24)",
+    "lead_times": f"{EVENT_FC} SELECT DISTINCT item_id, lead_time FROM fc",
+    "replaced_horizon": f"""WITH {ORDERS}, {rolled(30, out='s30')}, {led((1,), 's30', 'f30')}, {rolled(100, out='s100')}, {led((7, 14), 's100', 'f100')}, {LEVEL_ROWS}, u AS (SELECT * FROM f30 UNION ALL SELECT * FROM f100)
+      SELECT item_id, timestamp, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round(q[i], 6) AS pred FROM u, lv WHERE q IS NOT NULL""",
+    "stored_forecasts": f"""WITH {LINES}, {rolled(20, out='s20')}, {led((1, 7), 's20', 'f20')}, {rolled(50, out='s50')}, {led((1, 7), 's50', 'f50')}, u AS (SELECT 'short_roll' AS key, * FROM f20 UNION ALL SELECT 'long_roll', * FROM f50)
+      SELECT key, item_id, timestamp, lead_time, round(q[5], 6) AS q50 FROM u WHERE q IS NOT NULL""",
+    "eqc_reapplied": f"{LINE_CAL}, {OFFSETS}, {LEVEL_ROWS} SELECT item_id, timestamp, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round({SHIFTED}[i], 6) AS pred FROM fc LEFT JOIN offs USING (item_id, lead_time), lv WHERE q IS NOT NULL",
+    "stored_report": f"{MODEL_TABLE} SELECT 'first' AS run, model, round(avg(c), 6) AS crps, '1,7' AS leads FROM ml GROUP BY model",
+    "energy_files": f"""WITH {LINE_ROWS}, n AS (SELECT unnest(range(3)) AS item_id, unnest(['A', 'N', 'R']) AS name)
+      SELECT CAST(n.item_id AS BIGINT) AS item_id, name, d.timestamp, s.target FROM (SELECT DISTINCT timestamp FROM src) d CROSS JOIN n LEFT JOIN src s ON s.item_id = n.name AND s.timestamp = d.timestamp""",
     "supplier_rolling": """WITH src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL)
       SELECT item_id, timestamp, round(quantile_cont(target, 0.1) OVER w, 6) AS q10, round(quantile_cont(target, 0.5) OVER w, 6) AS q50, round(quantile_cont(target, 0.9) OVER w, 6) AS q90
       FROM src WINDOW w AS (PARTITION BY item_id ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",

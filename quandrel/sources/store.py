@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all machines share; under /tmp only on a local master without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save(rows: DataFrame, root: str, kind: str, run: str) -> None:
     """Write a run's ``kind`` (forecasts, params, metrics); a run that is written again is replaced, other runs stay."""
     by = ["model"] if "model" in rows.columns else []
