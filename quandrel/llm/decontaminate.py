@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quandrel.llm.staging import staged
-from quandrel.llm.text import lower_az, sha256_hex
+from quandrel.llm.text import lower_az, names_beside, sha256_hex
 
 #: Bytes that separate words: all of ASCII but digits and letters.  Fixed value of the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,7 +41,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
 def prefix_table(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """(word, offset, window_id, words): each distinct window under its rarest word."""
-    distinct = windows.select("window_id", "words").dropDuplicates(["window_id"])
+    distinct = windows.select("window_id", "words").dropDuplicates(["window_id"])  # its id tells a window's words
     shingles = distinct.select("window_id", "words", F.posexplode("words").alias("offset", "word"))
     vocabulary = shingles.select("word").distinct()
     tokens = docs.select(F.explode(split_words(F.col("text"))).alias("word"))
@@ -81,22 +81,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     A window is ``width`` consecutive words of an item, or all words of an item of fewer; a document word inside any
     occurrence of a window is hit.  Null or empty text has no words and no hits; items without words, or whose id is null,
     hit nothing; items that repeat an id count once.  Rows that repeat a doc_id are judged each by its own text.  Rows of
-    a null doc_id are judged too.  Other columns pass through.
+    a null doc_id are judged too.  Other columns pass through, whatever they are named.
     """
-    mine = docs.drop("n_words", "n_hit", "item_ids", "contaminated").withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = mine.select(F.col("_id").alias("doc_id"), "row_hash", "text")
-    windows = staged(item_windows(items, width).withColumn("window_id", F.xxhash64(F.array_join("words", " "))), "windows")
+    rest = docs.drop("n_words", "n_hit", "item_ids", "contaminated")
+    own_id, own_row, hit_id, hit_row = names_beside(rest.columns, "own_id", "own_row", "hit_id", "hit_row")
+    mine = rest.withColumns({own_row: F.xxhash64(F.coalesce("text", F.lit(""))), own_id: F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    keyed = mine.select(F.col(own_id).alias("doc_id"), F.col(own_row).alias("row_hash"), "text")
+    phrase = F.array_join("words", " ")
+    windows = staged(item_windows(items, width).withColumn("window_id", F.struct(F.xxhash64(phrase).alias("h1"), F.xxhash64(F.lit(5), phrase).alias("h2"))), "windows")
     n_windows = windows.count()
     small = n_windows * width <= BROADCAST_ROWS
     hits = staged(window_hits(keyed, prefix_table(keyed, windows, small), small), "hits")
     spans = hits.groupBy("doc_id", "row_hash").agg(covered(F.collect_set(F.struct("start", "n"))).alias("n_hit"))
     owners = windows.select("window_id", "item_id")
     owned = hits.select("doc_id", "row_hash", "window_id").distinct().join(F.broadcast(owners) if small else owners, "window_id").groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = spans.join(owned, ["doc_id", "row_hash"]).select(F.col("doc_id").alias("_hit_id"), F.col("row_hash").alias("_hit_row"), "n_hit", "item_ids")
+    found = spans.join(owned, ["doc_id", "row_hash"]).select(F.col("doc_id").alias(hit_id), F.col("row_hash").alias(hit_row), "n_hit", "item_ids")
     counted = mine.withColumn("n_words", word_count(split_words(F.col("text"))))
-    joined = counted.join(found, (F.col("_id") == F.col("_hit_id")) & (F.col("row_hash") == F.col("_hit_row")), "left")
+    joined = counted.join(found, (F.col(own_id) == F.col(hit_id)) & (F.col(own_row) == F.col(hit_row)), "left")
     out = joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("_id", "row_hash", "_hit_id", "_hit_row")
+    return out.withColumn("contaminated", F.col("n_hit") > 0).drop(own_id, own_row, hit_id, hit_row)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

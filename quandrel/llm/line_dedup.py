@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quandrel.llm.staging import staged
-from quandrel.llm.text import lower_az, sha256_hex, strip_white
+from quandrel.llm.text import lower_az, names_beside, sha256_hex, strip_white
 
 #: Hash ranges are shares of this many slices of the hash space; documents are dealt in so many slices.
 RANGES, SLICES = 4096, 8
@@ -66,18 +66,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     more that ``min_docs`` documents or more hold lose all their lines except in the largest doc_id that holds them.
 
     Null or empty text is one empty line, and is kept as ''.  Rows of a null doc_id keep every line and don't count.  Rows
-    that repeat a doc_id count as one document, and each is cut by its own positions.  Other columns pass through; none
-    of their names can clash, for the join works on names of its own.
+    that repeat a doc_id count as one document, and each is cut by its own positions.  Other columns pass through,
+    whatever they are named, but for the three that are added.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_bitmap_doc"), F.col("row_hash").alias("_bitmap_row"), F.col("words").alias("_bitmap"))
     mine = docs.drop("kept_text", "n_lines", "n_dropped")
-    joined = mine.join(bitmaps.hint("shuffle_hash"), (F.col("doc_id") == F.col("_bitmap_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bitmap_row")), "left")
-    bit = lambda i: F.getbit(F.element_at("_bitmap", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))) == 1
+    of_doc, of_row, bitmap = names_beside(mine.columns, "of_doc", "of_row", "bitmap")
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(of_doc), F.col("row_hash").alias(of_row), F.col("words").alias(bitmap))
+    joined = mine.join(bitmaps.hint("shuffle_hash"), (F.col("doc_id") == F.col(of_doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_row)), "left")
+    bit = lambda i: F.getbit(F.element_at(bitmap, F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))) == 1
     kept = F.filter(lines_of(F.col("text")), lambda x, i: ~F.coalesce(bit(i), F.lit(False)))
     n_lines = F.size(lines_of(F.col("text"))).cast("long")
-    dropped = F.coalesce(F.aggregate(F.map_values("_bitmap"), F.lit(0), lambda a, b: a + F.bit_count(b)), F.lit(0)).cast("long")
-    out = joined.withColumns({"kept_text": F.when(F.col("_bitmap").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")), "n_lines": n_lines, "n_dropped": dropped})
-    return out.drop("_bitmap_doc", "_bitmap_row", "_bitmap")
+    dropped = F.coalesce(F.aggregate(F.map_values(bitmap), F.lit(0), lambda a, b: a + F.bit_count(b)), F.lit(0)).cast("long")
+    out = joined.withColumns({"kept_text": F.when(F.col(bitmap).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")), "n_lines": n_lines, "n_dropped": dropped})
+    return out.drop(of_doc, of_row, bitmap)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

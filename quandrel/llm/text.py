@@ -21,3 +21,14 @@ def strip_white(c: Column) -> Column:
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def names_beside(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to clash with none of ``columns``."""
+    taken, free = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        free.append(name)
+    return free
