@@ -1,8 +1,8 @@
 """Line dedup: lines that many documents share stay in one document.
 
-Plan.  A document's long lines become 128-bit hashes.  Rows (hash, document, position) are dealt by hash range and sorted
-by hash, document and position in each partition; the ranges need no sampling pass, for hashes are uniform.  A range is
-dealt on by document slice, so that one line in a third of all documents meets many tasks; each task streams its sorted
+Plan.  A document's long lines become 128-bit hashes.  Rows (hash, document, position) are range-partitioned by hash and
+document slice, and sorted by hash, document and position in each partition.  The slice is part of the range's key, so
+that one line in a third of all documents is cut into several ranges; each task streams its sorted
 rows, sees the first occurrence of a line in each document, and sends one row a line: documents seen and the last of
 them.  The sums name the shared lines.  What goes back to the documents is a bitmap of kept positions, 64 to a word, with
 a word only where some line goes; texts aren't shuffled before that last join.
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quandrel.llm.staging import staged
 from quandrel.llm.text import lower_az, names_beside, sha256_hex, strip_white
 
-#: Hash ranges are shares of this many slices of the hash space; documents are dealt in so many slices.
-RANGES, SLICES = 4096, 8
+#: Documents are dealt in so many slices.
+SLICES = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -38,9 +38,9 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def shared_lines(occurrences: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, last_doc) of lines that at least ``min_docs`` documents hold; ``occurrences`` has h1, h2, doc_id, pos."""
-    dealt = occurrences.withColumns({"range": F.shiftrightunsigned("h1", 52).cast("int"), "slice": F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")})
-    parts = dealt.repartition("range", "slice").sortWithinPartitions("range", "slice", "h1", "h2", "doc_id", "pos")
-    run = W.partitionBy("range", "slice", "h1", "h2").orderBy("doc_id", "pos")
+    dealt = occurrences.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
+    parts = dealt.repartitionByRange("h1", "slice").sortWithinPartitions("h1", "slice", "h2", "doc_id", "pos")
+    run = W.partitionBy("h1", "slice", "h2").orderBy("doc_id", "pos")
     first = parts.withColumn("first", F.lag("doc_id").over(run).isNull() | (F.lag("doc_id").over(run) != F.col("doc_id")))
     seen = first.filter("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_doc"))
     return seen.filter(F.col("n") >= min_docs).select("h1", "h2", "last_doc")
