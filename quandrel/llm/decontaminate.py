@@ -45,7 +45,8 @@ def prefix_table(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     shingles = distinct.select("window_id", "words", F.posexplode("words").alias("offset", "word"))
     vocabulary = shingles.select("word").distinct()
     tokens = docs.select(F.explode(split_words(F.col("text"))).alias("word"))
-    counts = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count("*").alias("uses"))
+    counted = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count("*").alias("uses"))
+    counts = staged(counted, "counts")  # as a table, so that AQE can split a word of many windows
     # a window with a word that no document has occurs nowhere: the inner join and the count of its words drop it
     ranked = shingles.join(counts, "word").groupBy("window_id").agg(F.count("*").alias("found"), F.first("words").alias("words"), F.min(F.struct("uses", "word", "offset")).alias("rarest"))
     return ranked.filter(F.col("found") == F.size("words")).select("rarest.word", "rarest.offset", "window_id", "words")
