@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quandrel.llm.conversations import op13_conversation_repair
 from quandrel.llm.decontaminate import OP8_SQL, op8_decontaminate
 from quandrel.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from quandrel.llm.jaccard import OP7_SQL, op7_ngram_jaccard
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_near_vectors": op10_near_vectors,
     "op11_token_links": op11_token_links,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_near_vectors": OP10_SQL, "op12_exact_dedup": OP12_SQL}
