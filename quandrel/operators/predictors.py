@@ -16,40 +16,24 @@ from quandrel.functions.calendar import calendar_features, feature_columns
 from quandrel.functions.freq import Freq
 from quandrel.functions.quantiles import LEVELS, level_array, normal_quantiles
 from quandrel.operators.forecast import forecasts_of, over_leads, shifted_label
+from quandrel.operators.rolling import CHUNK, rolling_quantiles
 from quandrel.operators.regression import quantile_regression
 
 FORECAST = "item_id {item}, timestamp timestamp_ntz, lead_time int, q array<double>"
 
 
 class Predictor(Protocol):
-    """fit() returns parameters as a table (or None), predict() a forecast table; both only declare work."""
+    """fit() returns parameters as a table (or None), predict() a forecast table.
+
+    Rolling and seasonal forecasters write the ordered series to the shared folder when predict() is called; the rest only
+    declare work.
+    """
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> DataFrame | None: ...
 
     def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame: ...
 
 
-def rolling_quantiles(rows: DataFrame, by: list[str], levels, last_n: int | None, chunk: int | None = None) -> DataFrame:
-    """``rows`` with q: quantiles of the ``last_n`` newest values up to each row; a row without a value keeps the state.
-
-    Rows are numbered by values so far, so a range frame over that number holds exactly the last values and any null rows
-    between; null is no value to percentile().  With ``chunk`` (more than last_n values) a series is cut into chunks that
-    carry a halo of values, so that few items fill many tasks.
-    """
-    order = W.partitionBy(*by).orderBy("timestamp")
-    counted = rows.withColumn("_k", F.count("target").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    if chunk is None or last_n is None:
-        frame = W.partitionBy(*by).orderBy("_k").rangeBetween(W.unboundedPreceding if last_n is None else 1 - last_n, 0)
-        return counted.withColumn("q", F.percentile("target", level_array(levels)).over(frame)).drop("_k")
-    if chunk < last_n:
-        raise ValueError("a chunk holds last_n values at least")
-    own = (F.col("_k") / chunk).cast("long")
-    halo = (F.col("_k") % chunk >= chunk - last_n) & F.col("target").isNotNull()
-    dealt = counted.withColumn("_c", F.explode(F.when(halo, F.array(F.struct(own.alias("c"), F.lit(True).alias("mine")), F.struct((own + 1).alias("c"), F.lit(False).alias("mine")))).otherwise(F.array(F.struct(own.alias("c"), F.lit(True).alias("mine"))))))
-    frame = W.partitionBy(*by, "_c.c").orderBy("_k").rangeBetween(1 - last_n, 0)
-    return dealt.withColumn("q", F.percentile("target", level_array(levels)).over(frame)).filter("_c.mine").drop("_k", "_c")
-
-
 @dataclass
 class RollingQuantiles:
     """Quantiles of the last values, the same for every lead."""
@@ -58,7 +42,7 @@ class RollingQuantiles:
     leads: tuple = (1,)
     freq: Freq = Freq("hour")
     last_n: int | None = 100
-    chunk: int | None = None
+    chunk: int | None = CHUNK
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> None:
         return None
@@ -76,20 +60,20 @@ class SeasonalQuantiles:
     leads: tuple = (1,)
     freq: Freq = Freq("hour")
     last_n: int | None = 10
+    chunk: int | None = CHUNK
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> None:
         return None
 
     def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        """As-of by numbers: what is asked of a bucket stands among its values as a row without one, and keeps their state."""
         rows = series.select("item_id", "timestamp", "target")
-        known = rows.filter("target is not null").withColumn("bucket", self.freq.bucket(F.col("timestamp")))
-        states = rolling_quantiles(known, ["item_id", "bucket"], self.levels, self.last_n).select("item_id", "bucket", "timestamp", F.lit(0).alias("lead_time"), F.lit(0).alias("late"), "q")
+        known = rows.filter("target is not null").select("item_id", self.freq.bucket(F.col("timestamp")).alias("bucket"), "timestamp", F.lit(0).alias("lead_time"), "target")
         asked = over_leads(rows.select("item_id", "timestamp"), self.leads)
-        asked = asked.withColumn("bucket", self.freq.bucket(self.freq.shift(F.col("timestamp"), F.col("lead_time"))))
-        both = states.unionByName(asked.withColumns({"late": F.lit(1), "q": F.lit(None).cast("array<double>")}))
-        # as-of: of the rows up to an origin, the bucket's last state
-        seen = W.partitionBy("item_id", "bucket").orderBy("timestamp", "late").rowsBetween(W.unboundedPreceding, 0)
-        return forecasts_of(both.withColumn("q", F.last("q", ignorenulls=True).over(seen)).filter("late = 1").select("item_id", "timestamp", "lead_time", "q"))
+        asked = asked.withColumns({"bucket": self.freq.bucket(self.freq.shift(F.col("timestamp"), F.col("lead_time"))), "target": F.lit(None).cast("double")})
+        # lead_time 0 sorts first: a value counts for what is asked at its own time
+        states = rolling_quantiles(known.unionByName(asked), ["item_id", "bucket"], self.levels, self.last_n, self.chunk, ("timestamp", "lead_time"))
+        return forecasts_of(states.filter("lead_time > 0").select("item_id", "timestamp", "lead_time", "q"))
 
 
 @dataclass
