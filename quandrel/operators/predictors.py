@@ -31,6 +31,14 @@ class Predictor(Protocol):
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> DataFrame | None: ...
 
+    def states(self, series: DataFrame) -> DataFrame:
+        """What is known at each origin (item_id, timestamp), without parameters and from rows up to it alone."""
+        ...
+
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        """Forecasts from states, whose item_id may be any key that ``params`` has."""
+        ...
+
     def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame: ...
 
 
@@ -47,9 +55,15 @@ class RollingQuantiles:
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> None:
         return None
 
-    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    def states(self, series: DataFrame) -> DataFrame:
         origins = rolling_quantiles(series.select("item_id", "timestamp", "target"), ["item_id"], self.levels, self.last_n, self.chunk)
-        return over_leads(forecasts_of(origins.select("item_id", "timestamp", "q")), self.leads)
+        return origins.select("item_id", "timestamp", "q")
+
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        return over_leads(forecasts_of(states), self.leads)
+
+    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        return self.finish(self.states(series), params)
 
 
 @dataclass
@@ -65,15 +79,21 @@ class SeasonalQuantiles:
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> None:
         return None
 
-    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    def states(self, series: DataFrame) -> DataFrame:
         """As-of by numbers: what is asked of a bucket stands among its values as a row without one, and keeps their state."""
         rows = series.select("item_id", "timestamp", "target")
-        known = rows.filter("target is not null").select("item_id", self.freq.bucket(F.col("timestamp")).alias("bucket"), "timestamp", F.lit(0).alias("lead_time"), "target")
+        known = rows.filter("target is not null").select("item_id", self.freq.bucket(F.col("timestamp")).alias("bucket"), "timestamp", F.lit(-1).alias("lead_time"), "target")
         asked = over_leads(rows.select("item_id", "timestamp"), self.leads)
         asked = asked.withColumns({"bucket": self.freq.bucket(self.freq.shift(F.col("timestamp"), F.col("lead_time"))), "target": F.lit(None).cast("double")})
-        # lead_time 0 sorts first: a value counts for what is asked at its own time
+        # lead_time -1 sorts first: a value counts for what is asked at its own time
         states = rolling_quantiles(known.unionByName(asked), ["item_id", "bucket"], self.levels, self.last_n, self.chunk, ("timestamp", "lead_time"))
-        return forecasts_of(states.filter("lead_time > 0").select("item_id", "timestamp", "lead_time", "q"))
+        return states.filter("lead_time >= 0").select("item_id", "timestamp", "lead_time", "q")
+
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        return forecasts_of(states)
+
+    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        return self.finish(self.states(series), params)
 
 
 @dataclass
@@ -89,13 +109,18 @@ class RandomWalk:
         step = log - F.lag(log).over(W.partitionBy("item_id").orderBy("timestamp"))
         return train.select("item_id", step.alias("step")).groupBy("item_id").agg(F.stddev_pop("step").alias("sigma"))
 
-    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
-        sigma = params if params is not None else self.fit(series)
-        rows = over_leads(series.select("item_id", "timestamp", "target").join(sigma, "item_id", "left"), self.leads)
+    def states(self, series: DataFrame) -> DataFrame:
+        return series.select("item_id", "timestamp", "target")
+
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        rows = over_leads(states.join(params, "item_id", "left"), self.leads)
         log = F.when(F.col("target") > 0, F.ln("target"))
         q = F.transform(normal_quantiles(log, F.col("sigma") * F.sqrt("lead_time"), self.levels), F.exp)
         return forecasts_of(rows.select("item_id", "timestamp", "lead_time", F.when(F.col("target").isNotNull() & F.col("sigma").isNotNull(), q).alias("q")))
 
+    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        return self.finish(self.states(series), params if params is not None else self.fit(series))
+
 
 @dataclass
 class CalendarRegression:
@@ -123,13 +148,19 @@ class CalendarRegression:
 
         return rows.groupBy("item_id", "lead_time").applyInPandas(one, f"item_id {dict(rows.dtypes)['item_id']}, lead_time int, coefficients array<array<double>>")
 
-    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
-        rows = self._features(over_leads(series.select("item_id", "timestamp", "target"), self.leads)).join(params, ["item_id", "lead_time"], "left")
+    def states(self, series: DataFrame) -> DataFrame:
+        return series.select("item_id", "timestamp", "target")
+
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        rows = self._features(over_leads(states, self.leads)).join(params, ["item_id", "lead_time"], "left")
         x = [F.lit(1.0), *(F.ln(F.col(c) + self.epsilon) if c == "target" else F.col(c).cast("double") for c in self.features)]
         value = lambda c: sum((c[i] * v for i, v in enumerate(x)), F.lit(0.0))
         q = F.array(*(F.exp(value(F.col("coefficients")[i])) - self.epsilon for i in range(len(self.levels))))
         return forecasts_of(rows.select("item_id", "timestamp", "lead_time", F.when(F.col("target").isNotNull() & F.col("coefficients").isNotNull(), q).alias("q")))
 
+    def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        return self.finish(self.states(series), params)
+
 
 def context_windows(series: DataFrame, length: int) -> DataFrame:
     """``series`` with context: the last ``length`` targets up to each row, nulls kept, padded with null on the left."""
@@ -170,7 +201,13 @@ class ContextModel:
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> None:
         return None
 
+    def finish(self, states: DataFrame, params: DataFrame | None) -> DataFrame:
+        return forecasts_of(states)
+
     def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
+        return self.finish(self.states(series), params)
+
+    def states(self, series: DataFrame) -> DataFrame:
         """Forecasts of rows with is_origin true, or of all rows where there is no such column."""
         length, chunk, batch, model, leads = self.length, self.chunk, self.batch, self.model, list(self.leads)
         origin = F.col("is_origin") if "is_origin" in series.columns else F.lit(True)
@@ -196,7 +233,7 @@ class ContextModel:
             return pd.concat([pd.DataFrame({"item_id": chosen["item_id"], "timestamp": chosen["timestamp"], "lead_time": h, "q": list(got[:, :, k])}) for k, h in enumerate(leads)])
 
         out = dealt.groupBy("item_id", "part").applyInPandas(windows, FORECAST.format(item=dict(series.dtypes)["item_id"]))
-        return forecasts_of(out.withColumn("q", F.transform("q", lambda x: F.when(~F.isnan(x), x))))
+        return out.withColumn("q", F.transform("q", lambda x: F.when(~F.isnan(x), x)))
 
 
 def quantiles_of_context(levels=LEVELS, leads=(1,)) -> Callable[[np.ndarray], np.ndarray]:

@@ -98,7 +98,7 @@ out{k} AS (SELECT {k} AS fold_id, 'raw' AS model, item_id, timestamp, lead_time,
     return f"WITH {LINES}, {', '.join(parts)} SELECT {shown}model, item_id, timestamp, lead_time, round(q[1], 6) AS q10, round(q[5], 6) AS q50, round(q[9], 6) AS q90 FROM ({union})"
 
 
-FOLDS = [("1999-01-01", "2000-01-01", "1998-01-01"), ("2000-01-01", "2001-01-01", "1999-01-01"), ("2001-01-01", "2001-06-01", "2000-01-01")]
+FOLDS = [("1999-01-01", "2000-01-01", "1998-01-01"), ("2000-01-01", "2001-01-01", "1999-01-01"), ("2001-01-01", "2002-01-01", "2000-01-01")]
 PAIRED = f"{MODEL_CRPS}, pr AS (SELECT item_id, timestamp, lead_time, a.crps AS a, b.crps AS b FROM (SELECT * FROM tr WHERE model = 'roll30') a JOIN (SELECT * FROM tr WHERE model = 'walk') b USING (item_id, timestamp, lead_time))"
 
 

@@ -34,7 +34,7 @@ def test_no_target_to_test_is_an_error(spark):
 
 
 def test_full_last_window():
-    folds = rolling_folds(datetime(2025, 1, 1), datetime(2025, 9, 1), pd.DateOffset(months=6), clip=False)
+    folds = rolling_folds(datetime(2025, 1, 1), datetime(2025, 9, 1), pd.DateOffset(months=6))
     assert [f["test_end"] for f in folds] == [datetime(2025, 7, 1), datetime(2026, 1, 1)]
 
 

@@ -135,7 +135,7 @@ def test_gaussian_recovers_and_improves(spark):
 
 def test_rolling_folds_equal_single_backtests(spark):
     df, _ = gappy(spark, 900, 5, timedelta(days=1))
-    folds = rolling_folds(datetime(2025, 1, 1), datetime(2026, 3, 1), pd.DateOffset(months=6), None, pd.DateOffset(months=6))
+    folds = rolling_folds(datetime(2025, 1, 1), datetime(2026, 3, 1), pd.DateOffset(months=6), None, pd.DateOffset(months=6), clip=True)
     assert len(folds) == 3 and folds[-1]["test_end"] == datetime(2026, 3, 1)
     run = Backtest(predictors.RollingQuantiles(leads=(1, 3), last_n=10, freq=DAY), {"eqc": calibrate.EmpiricalOffset(warm_up=20)}, DAY)
     key = lambda r: (r.model, r.item_id, r.timestamp, r.lead_time, tuple(r.q or ()))
