@@ -12,16 +12,20 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quandrel.operators.ordered import BLOCK_BITS, before, ordered
+from quandrel.operators.ordered import BLOCK_BITS, before, ordered, written
 
 #: Values of a chunk; a chunk holds last_n at least.
 CHUNK = 4_096
+#: Values of a bin and numbers of a chunk, where all values count: 2^CELL_BITS.
+CELL_BITS = 16
 
 
 def places(n: int, levels: tuple) -> list[tuple[int, int, float, float]]:
@@ -69,11 +73,9 @@ def rolling_quantiles(rows: DataFrame, by: list[str], levels, last_n: int | None
     columns, wanted = rows.columns, tuple(map(float, levels))
     if last_n is not None and last_n < 1:
         raise ValueError("last_n is positive")
-    events = value_events(ordered(rows, by, list(order)), by, columns)
     if last_n is None:
-        dealt = events.withColumns({"_chunk": F.lit(0).cast("long"), "_mine": F.lit(True)})
-    else:
-        dealt = chunks(events, max(chunk or CHUNK, last_n), last_n)
+        return growing_quantiles(rows, by, wanted, order)
+    dealt = chunks(value_events(ordered(rows, by, list(order)), by, columns), max(chunk or CHUNK, last_n), last_n)
     sent = dealt.repartition(*by, "_chunk").sortWithinPartitions(*by, "_chunk", "_k", "block").select(*by, "_chunk", "_v", "_mine", "_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,3 +105,72 @@ def rolling_quantiles(rows: DataFrame, by: list[str], levels, last_n: int | None
     schema = T.StructType([sent.schema["_mine"], sent.schema["_rows"], T.StructField("q", T.ArrayType(T.DoubleType()))])
     found = sent.mapInArrow(run, schema).filter("_mine").select("q", F.inline("_rows"))
     return found.select(*(c for c in columns if c != "q"), "q")
+
+
+def growing_quantiles(rows: DataFrame, by: list[str], levels: tuple, order: tuple[str, ...] = ("timestamp",), bits: int = CELL_BITS) -> DataFrame:
+    """``rows`` with q: quantiles of all values up to each row.
+
+    A key's values are ranked and cut into bins of at most 2^bits neighbours, and its numbers into chunks as long.  The
+    values of earlier chunks are counted by bin; a chunk goes on counting, finds the bin that holds each rank it needs, and
+    asks for the rank inside it; a bin and chunk answer from the bin's values so far.  So a task holds the values of a bin,
+    and the asked ranks of a chunk at most; N values make N^2 / 2^(2 bits) counts.
+    """
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    events = written(value_events(ordered(rows.withColumn("_key", key), ["_key"], list(order)), ["_key"], rows.columns), "events")
+    ranked = ordered(events.filter("_v is not null").select("_key", "_k", "_v"), ["_key"], ["_v", "_k"], at="_rank").withColumn("block", F.shiftright("_rank", bits))
+    bins = before(ranked.groupBy("_key", "block").agg(F.lit(1).alias("n")), ["_key"]).select("_key", "block", F.col("before").alias("bin"))
+    placed = written(ranked.join(bins, ["_key", "block"]).select("_key", "_k", "_v", "bin", F.shiftright("_k", bits).alias("chunk")), "placed")
+    counts = placed.groupBy("_key", "chunk", "bin").agg(F.count("*").alias("n")).groupBy("_key", "chunk").agg(F.collect_list(F.struct("bin", "n")).alias("cells"))
+    widths = bins.groupBy("_key").agg(F.count("*").alias("width"))
+    dealt = counts.join(widths, "_key").repartition("_key").sortWithinPartitions("_key", "chunk")
+
+    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in ("_key", "chunk", "cells", "width")}
+                if row["_key"] != now:
+                    now, sums = row["_key"], np.zeros(row["width"], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([row["chunk"]], pa.int64()), pa.array([sums], pa.list_(pa.int64()))], ["_key", "chunk", "sums"])
+                for cell in row["cells"]:
+                    sums[cell["bin"]] += cell["n"]
+
+    sums = dealt.mapInArrow(earlier, "_key string, chunk long, sums array<long>")
+    share = np.repeat(np.array(levels), 2)
+
+    def ask(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_k")
+        upto, asked = np.asarray(start["sums"].iloc[0], dtype=np.int64).cumsum(), []
+        for k, b in zip(own["_k"].to_numpy(), own["bin"].to_numpy()):
+            upto[b:] += 1
+            at = (k - 1) * share
+            rank = np.where(np.arange(len(at)) % 2, np.ceil(at), np.floor(at)).astype(np.int64)
+            place = np.searchsorted(upto, rank, "right")
+            asked.append(np.column_stack([place, rank - np.where(place > 0, upto[place - 1], 0)]))
+        found = np.concatenate(asked)
+        return pd.DataFrame({"_key": own["_key"].iloc[0], "chunk": own["chunk"].iloc[0], "bin": found[:, 0], "_k": np.repeat(own["_k"].to_numpy(), len(share)), "j": np.tile(np.arange(len(share), dtype=np.int32), len(own)), "rank": found[:, 1]})
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        asked, held = asked.sort_values("_k"), held.sort_values("_k")
+        numbers, values = held["_k"].tolist(), held["_v"].tolist()
+        at = bisect_left(numbers, asked["_k"].iloc[0])
+        seen, out = sorted(values[:at]), []
+        for k, rank in zip(asked["_k"].tolist(), asked["rank"].tolist()):
+            while at < len(numbers) and numbers[at] <= k:
+                insort(seen, values[at])
+                at += 1
+            out.append(seen[rank])
+        return pd.DataFrame({"_key": asked["_key"], "_k": asked["_k"], "j": asked["j"], "value": out})
+
+    asks = written(placed.groupBy("_key", "chunk").cogroup(sums.groupBy("_key", "chunk")).applyInPandas(ask, "_key string, chunk long, bin long, _k long, j int, rank long"), "asks")
+    cells = asks.select("_key", "bin", F.col("chunk").alias("until")).distinct()
+    held = placed.join(cells, ["_key", "bin"]).filter("chunk <= until").select("_key", "bin", F.col("until").alias("chunk"), "_k", "_v")
+    told = asks.groupBy("_key", "bin", "chunk").cogroup(held.groupBy("_key", "bin", "chunk")).applyInPandas(answer, "_key string, _k long, j int, value double")
+    lists = told.groupBy("_key", "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda x: x["value"]).alias("_a"))
+    parts = []
+    for i, x in enumerate(levels):
+        at, low, high = (F.col("_k") - 1) * F.lit(x), F.col("_a")[2 * i], F.col("_a")[2 * i + 1]
+        parts.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    states = lists.select("_key", "_k", F.array(*parts).alias("_q"))
+    found = events.join(states, ["_key", "_k"], "left").select(F.col("_q").alias("q"), F.inline("_rows"))
+    return found.select(*(c for c in rows.columns if c != "q"), "q")
