@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.quantiles import LEVELS, complete, normal_scores
 from quandrel.functions.transform import Transform
+from quandrel.operators.blockfit import GROUP_ROWS, by_size, normal_lines, packed, quantile_lines
 from quandrel.operators.forecast import forecasts_of
 from quandrel.operators.regression import Stumps, nelder_mead, quantile_regression
 
@@ -75,11 +76,15 @@ class EmpiricalOffset:
 
 @dataclass
 class QuantileRegressionCalibration:
-    """y ~ a + b p for each level, at that level, on transformed values."""
+    """y ~ a + b p for each level, at that level, on transformed values.
+
+    Groups of more than ``group_rows`` rows are fitted by sums over blocks, and not in one task.
+    """
 
     levels: tuple = LEVELS
     warm_up: int = WARM_UP
     transform: Transform = Transform()
+    group_rows: int = GROUP_ROWS
 
     def fit(self, aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         keys, levels, t = [*by, "item_id", "lead_time"], self.levels, self.transform
@@ -95,7 +100,11 @@ class QuantileRegressionCalibration:
             fits = [quantile_regression(np.column_stack([np.ones(good.sum()), x[good, i]]), y[good], a).tolist() for i, a in enumerate(levels)] if good.sum() > 1 else None
             return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "line": [fits]})
 
-        fitted = rows.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, line array<array<double>>")
+        small, large = by_size(rows, keys, self.group_rows)
+        fitted = small.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, line array<array<double>>")
+        if large is not None:
+            blocks = packed(large, keys, F.concat(F.array(F.lit(1.0)), "x"), F.col("y"))
+            fitted = fitted.unionByName(quantile_lines(blocks, keys, levels, [[0, i + 1] for i in range(len(levels))]).select(*keys, F.col("beta").alias("line")))
         return fitted.join(powers, keys)
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -136,11 +145,15 @@ def negative_log_likelihood(y: Column, mu: Column, sigma: Column) -> Column:
 
 @dataclass
 class GaussianCalibration:
-    """Normal law with mean a + b median and deviation c + d (high - low), by maximum likelihood on standardised values."""
+    """Normal law with mean a + b median and deviation c + d (high - low), by maximum likelihood on standardised values.
+
+    Groups of more than ``group_rows`` rows are fitted by Newton steps on sums over blocks, and not in one task.
+    """
 
     levels: tuple = LEVELS
     warm_up: int = WARM_UP
     transform: Transform = Transform()
+    group_rows: int = GROUP_ROWS
 
     def rows(self, aligned: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
         """(rows with y, m, spread, sigma on the fitting scale, scale parameters, keys)."""
@@ -159,7 +172,8 @@ class GaussianCalibration:
 
     def fit(self, aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows, scale, keys = self.rows(aligned, by)
-        joined = rows.join(self.start(rows, keys), keys).select(*keys, "y", "m", "spread", "a", "b", "c", "d")
+        small, large = by_size(rows, keys, self.group_rows)
+        joined = small.join(self.start(small, keys), keys).select(*keys, "y", "m", "spread", "a", "b", "c", "d")
 
         def one(frame: pd.DataFrame) -> pd.DataFrame:
             y, m, s = (frame[c].to_numpy(float) for c in ("y", "m", "spread"))
@@ -176,6 +190,9 @@ class GaussianCalibration:
             return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, **{c: [best[i]] for i, c in enumerate("abcd")}})
 
         fitted = joined.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, a double, b double, c double, d double")
+        if large is not None:
+            blocks = packed(large, keys, F.array("m", "spread"), F.col("y"))
+            fitted = fitted.unionByName(normal_lines(blocks, keys, self.start(large, keys)).drop("nll"))
         return fitted.join(scale, keys)
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:

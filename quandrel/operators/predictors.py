@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quandrel.functions.calendar import calendar_features, feature_columns
 from quandrel.functions.freq import Freq
 from quandrel.functions.quantiles import LEVELS, level_array, normal_quantiles
+from quandrel.operators.blockfit import GROUP_ROWS, by_size, packed, quantile_lines
 from quandrel.operators.forecast import forecasts_of, over_leads, shifted_label
 from quandrel.operators.rolling import CHUNK, rolling_quantiles
 from quandrel.operators.regression import quantile_regression
@@ -124,13 +125,17 @@ class RandomWalk:
 
 @dataclass
 class CalendarRegression:
-    """Linear quantile regression of log targets on calendar features, for each item, lead and level."""
+    """Linear quantile regression of log targets on calendar features, for each item, lead and level.
+
+    Groups of more than ``group_rows`` rows are fitted by sums over blocks, and not in one task.
+    """
 
     levels: tuple = LEVELS
     leads: tuple = (1,)
     freq: Freq = Freq("hour")
     epsilon: float = 1e5
     features: list[str] = field(default_factory=feature_columns)
+    group_rows: int = GROUP_ROWS
 
     def _features(self, rows: DataFrame) -> DataFrame:
         return calendar_features(rows, self.freq)
@@ -146,7 +151,13 @@ class CalendarRegression:
             fits = [quantile_regression(x, frame["label"].to_numpy(), a).tolist() for a in levels]
             return pd.DataFrame({"item_id": [frame["item_id"].iloc[0]], "lead_time": [frame["lead_time"].iloc[0]], "coefficients": [fits]})
 
-        return rows.groupBy("item_id", "lead_time").applyInPandas(one, f"item_id {dict(rows.dtypes)['item_id']}, lead_time int, coefficients array<array<double>>")
+        keys = ["item_id", "lead_time"]
+        small, large = by_size(rows, keys, self.group_rows)
+        fitted = small.groupBy(*keys).applyInPandas(one, f"item_id {dict(rows.dtypes)['item_id']}, lead_time int, coefficients array<array<double>>")
+        if large is not None:
+            lines = quantile_lines(packed(large, keys, F.array(F.lit(1.0), *names), F.col("label")), keys, levels)
+            fitted = fitted.unionByName(lines.select(*keys, F.col("beta").alias("coefficients")))
+        return fitted
 
     def states(self, series: DataFrame) -> DataFrame:
         return series.select("item_id", "timestamp", "target")
