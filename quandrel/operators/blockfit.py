@@ -16,18 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quandrel.operators.ordered import written
+from quandrel.operators.regression import quantile_regression
 
 #: Rows of a block: 2^12.  Tasks' sums of a group are added in so many parts first.
 PACK_BITS, PARTS = 12, 64
 #: Groups of more rows are fitted by sums; smaller ones by one pandas frame each.
 GROUP_ROWS = 1_000_000
 #: Rounds of reweighting, share of the residuals' scale at which weights are cut off (first, last), and what it shrinks by.
-ROUNDS, FLOORS, SHRINK = 80, (0.1, 1e-6), 0.7
+ROUNDS, FLOORS, SHRINK = 24, (0.1, 1e-4), 0.7
+#: Rows about a line that one frame solves exactly, with all others as two sums; halvings of the scale that are tried for them.
+BAND_ROWS, HALVINGS, POLISH = 200_000, 40, 2
 
 
 def packed(rows: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
-    """(keys..., x array<array<double>>, y array<double>): rows without any null, as written blocks of 2^PACK_BITS at most."""
-    good = rows.select(*keys, x.alias("x"), y.cast("double").alias("y")).filter(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & ~F.isnan("y"))
+    """(keys..., x array<array<double>>, y array<double>): rows of finite values, as written blocks of 2^PACK_BITS at most."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = rows.select(*keys, x.alias("x"), y.cast("double").alias("y")).filter(finite(F.col("y")) & F.forall("x", finite))
     dealt = good.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), PACK_BITS))
     blocks = dealt.groupBy(*keys, "_block").agg(F.collect_list(F.struct("x", "y")).alias("r"))
     return written(blocks.select(*keys, F.col("r.x").alias("x"), F.col("r.y").alias("y")), "blocks")
@@ -79,9 +83,11 @@ def quantile_lines(blocks: DataFrame, keys: Sequence[str], levels: Sequence[floa
 
     A level uses all of x, or its ``columns`` of x, as many as any other.
 
-    Reweighted least squares: weights are the pinball slopes over residuals, cut off at a share of the residuals' scale that
-    shrinks.  Every round adds normal equations by group; the coefficients of the least loss so far are kept.  Collinear
-    columns are allowed: solutions have the least norm.
+    First reweighted least squares: weights are the pinball slopes over residuals, cut off at a share of the residuals' scale
+    that shrinks.  Every round adds normal equations by group; the coefficients of the least loss so far are kept.  Then the
+    rows nearest to a line, up to BAND_ROWS, are solved in one frame; the others are added up to one row above and one below
+    it, which have the same loss while they stay there (Portnoy and Koenker, 1997).  The loss over all rows decides whether
+    the new line is better, and gives the next band.  Collinear columns are allowed: solutions have the least norm.
     """
     levels = [float(x) for x in levels]
     width = blocks.select(F.size(F.col("x")[0]).alias("p")).limit(1).collect()
@@ -91,7 +97,7 @@ def quantile_lines(blocks: DataFrame, keys: Sequence[str], levels: Sequence[floa
     full, n_levels = width[0].p, len(levels)
     columns = [list(range(full))] * n_levels if columns is None else [list(c) for c in columns]
     p = len(columns[0])
-    each = p * p + p + 1
+    each = p * p + p + 1 + HALVINGS
 
     def squares(x: np.ndarray, y: np.ndarray, _: dict) -> np.ndarray:
         return np.concatenate([(x.T @ x).ravel(), x.T @ y, [float(y @ y), float(y.sum()), len(y)]])
@@ -101,7 +107,7 @@ def quantile_lines(blocks: DataFrame, keys: Sequence[str], levels: Sequence[floa
         many = [np.linalg.lstsq(xx[np.ix_(c, c)], xy[c], rcond=None)[0].tolist() for c in columns]
         yy, total, n = sums[-3:]
         scale = max(float(np.sqrt(max(yy / n - (total / n) ** 2, 0.0))), 1e-12)
-        return {"now": many, "beta": many, "loss": [float("inf")] * n_levels, "scale": scale, "floor": FLOORS[0], "still": 0}
+        return {"now": many, "beta": many, "loss": [float("inf")] * n_levels, "band": [0.0] * n_levels, "scale": scale, "floor": FLOORS[0]}
 
     def weighted(x: np.ndarray, y: np.ndarray, params: dict) -> np.ndarray:
         out, floor = [], params["floor"] * params["scale"]
@@ -109,35 +115,78 @@ def quantile_lines(blocks: DataFrame, keys: Sequence[str], levels: Sequence[floa
             z = x[:, c]
             r = y - z @ np.asarray(beta)
             w = np.where(r >= 0, level, 1 - level)
-            out += [w @ np.abs(r)]
+            out += [w @ np.abs(r), *np.searchsorted(np.sort(np.abs(r)), params["scale"] * 4.0 / 2.0 ** np.arange(HALVINGS), "right")]
             w = w / np.maximum(np.abs(r), floor)
             zw = z * w[:, None]
             out += [*(zw.T @ z).ravel(), *(zw.T @ y)]
         return np.array([*out, len(y)])
 
     def next_lines(sums: np.ndarray, params: dict) -> dict:
-        now, best, loss, better = [], [], [], False
+        now, best, loss, band = [], [], [], []
         for i in range(n_levels):
             part = sums[i * each : (i + 1) * each]
-            value = float(part[0] / sums[-1])
-            known = params["loss"][i]
-            better |= value < known * (1 - 1e-9)
-            best.append(list(params["now"][i]) if value < known else list(params["beta"][i]))
+            value, known, better = float(part[0] / sums[-1]), params["loss"][i], False
+            better = value < known
+            best.append(list(params["now"][i]) if better else list(params["beta"][i]))
             loss.append(min(value, known))
-            now.append(np.linalg.lstsq(part[1 : 1 + p * p].reshape(p, p), part[1 + p * p :], rcond=None)[0].tolist())
-        floor = max(params["floor"] * SHRINK, FLOORS[1])
-        return {"now": now, "beta": best, "loss": loss, "scale": params["scale"], "floor": floor, "still": 0 if better or params["floor"] > FLOORS[1] else params["still"] + 1}
+            fits = np.flatnonzero(part[1 : 1 + HALVINGS] <= BAND_ROWS)
+            reach = params["scale"] * 4.0 / 2.0 ** (fits[0] if len(fits) else HALVINGS)
+            band.append(float("inf") if sums[-1] <= BAND_ROWS else float(reach) if better else params["band"][i] / 2)
+            xx = part[1 + HALVINGS : 1 + HALVINGS + p * p].reshape(p, p)
+            now.append(np.linalg.lstsq(xx, part[1 + HALVINGS + p * p :], rcond=None)[0].tolist())
+        return {"now": now, "beta": best, "loss": loss, "band": band, "scale": params["scale"], "floor": max(params["floor"] * SHRINK, FLOORS[1])}
 
     blank = "array<array<double>>"
-    empty = params.select(*keys, F.lit(None).cast(blank).alias("now"), F.lit(None).cast(blank).alias("beta"), F.lit(None).cast("array<double>").alias("loss"), F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("int").alias("still"))
-    now = stepped(added(blocks, params, keys, squares), empty, keys, begin)
+    nulls = {"now": blank, "beta": blank, "loss": "array<double>", "band": "array<double>", "scale": "double", "floor": "double"}
+    now = stepped(added(blocks, params, keys, squares), params.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in nulls.items())), keys, begin)
     for _ in range(rounds):
         now = stepped(added(blocks, now.select(*keys, "now", "scale", "floor"), keys, weighted), now, keys, next_lines)
-        if not now.filter("still < 2").limit(1).collect():
-            break
+    for _ in range(POLISH):
+        solved = near_lines(blocks, now.select(*keys, "beta", "band"), keys, levels, columns)
+        tried = written(now.drop("now").join(solved, list(keys)).select(*now.columns), "params")
+        now = stepped(added(blocks, tried.select(*keys, "now", "scale", "floor"), keys, weighted), tried, keys, next_lines)
     return now.select(*keys, "beta", "loss")
 
 
+def near_lines(blocks: DataFrame, params: DataFrame, keys: Sequence[str], levels: Sequence[float], columns: Sequence[Sequence[int]]) -> DataFrame:
+    """(keys..., now): each level's line, solved from the rows within ``band`` of ``beta`` and the sums of those above and below."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            kept: dict[tuple, list] = {}
+            for i in range(len(batch)):
+                key = tuple(batch.column(c)[i].as_py() for c in keys)
+                xs, y = batch.column("x")[i].values, batch.column("y")[i].values.to_numpy(zero_copy_only=False)
+                x = xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), -1)
+                for j, (c, beta, band) in enumerate(zip(columns, batch.column("beta")[i].as_py(), batch.column("band")[i].as_py())):
+                    rows = np.column_stack([x[:, c], y])
+                    r = y - x[:, c] @ np.asarray(beta)
+                    far = np.stack([rows[r > band].sum(0), rows[r < -band].sum(0)])
+                    sums[*key, j] = sums.get((*key, j), 0) + far
+                    kept.setdefault((*key, j), []).append(rows[np.abs(r) <= band])
+            yield sent(batch.schema, {k: np.concatenate(v) for k, v in kept.items()})
+        if sums:
+            yield sent(batch.schema, {k: v[np.any(v != 0, axis=1)] for k, v in sums.items()})
+
+    def sent(schema: pa.Schema, parts: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        names = [pa.array([k[i] for k in parts], schema.field(c).type) for i, c in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*names, pa.array([k[-1] for k in parts], pa.int32()), pa.array([v.ravel() for v in parts.values()], pa.list_(pa.float64()))], [*keys, "level", "rows"])
+
+    width, at = len(columns[0]) + 1, list(levels)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate(frame["rows"].to_list()).reshape(-1, width)
+        beta = quantile_regression(rows[:, :-1], rows[:, -1], at[int(frame["level"].iloc[0])])
+        return frame[[*keys, "level"]].iloc[:1].assign(line=[beta.tolist()])
+
+    fields = [blocks.schema[c] for c in keys] + [T.StructField("level", T.IntegerType())]
+    near = blocks.join(params, keys).mapInArrow(run, T.StructType([*fields, T.StructField("rows", T.ArrayType(T.DoubleType()))]))
+    lines = near.groupBy(*keys, "level").applyInPandas(solve, T.StructType([*fields, T.StructField("line", T.ArrayType(T.DoubleType()))]))
+    return lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "line"))), lambda v: v["line"]).alias("now"))
+
+
 # normal likelihood ------------------------------------------------------------------------------------------------------
 def normal_lines(blocks: DataFrame, keys: Sequence[str], start: DataFrame, rounds: int = 60) -> DataFrame:
     """(keys..., a, b, c, d, nll): y is normal about a + b m with deviation c + d s, by damped Newton steps on (a, b, ln c, ln d).
@@ -199,9 +248,15 @@ def normal_lines(blocks: DataFrame, keys: Sequence[str], start: DataFrame, round
     return now.select(*keys, best[0].alias("a"), best[1].alias("b"), F.exp(best[2]).alias("c"), F.exp(best[3]).alias("d"), F.when(~F.col("nll").isin(float("inf")), F.col("nll")).alias("nll"))
 
 
-def by_size(rows: DataFrame, keys: Sequence[str], group_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups of up to ``group_rows``, rows of larger ones or None), after a job that counts; large groups are few."""
-    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows).select(*keys), "large")
+def by_size(blocks: DataFrame, keys: Sequence[str], group_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(blocks of groups of up to ``group_rows`` rows, blocks of larger ones or None), after a job that counts."""
+    sizes = blocks.groupBy(*keys).agg(F.sum(F.size("y")).alias("_n")).filter(F.col("_n") > group_rows).select(*keys)
     if not sizes.limit(1).collect():
-        return rows, None
-    return rows.join(sizes, list(keys), "left_anti"), rows.join(sizes, list(keys), "left_semi")
+        return blocks, None
+    large = written(sizes, "large")
+    return blocks.join(large, list(keys), "left_anti"), blocks.join(large, list(keys), "left_semi")
+
+
+def together(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of one group's blocks."""
+    return np.concatenate([np.stack(b) for b in frame["x"]]).astype(float), np.concatenate(frame["y"].to_list()).astype(float)

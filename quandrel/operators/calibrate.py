@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.quantiles import LEVELS, complete, normal_scores
 from quandrel.functions.transform import Transform
-from quandrel.operators.blockfit import GROUP_ROWS, by_size, normal_lines, packed, quantile_lines
+from quandrel.operators.blockfit import GROUP_ROWS, by_size, normal_lines, packed, quantile_lines, together
 from quandrel.operators.forecast import forecasts_of
+from quandrel.operators.ordered import written
 from quandrel.operators.regression import Stumps, nelder_mead, quantile_regression
+from quandrel.operators.selection import exact_quantiles
 
 WARM_UP = 200
 
@@ -59,14 +61,18 @@ def rebuilt(forecasts: DataFrame, joined: DataFrame, q: Column, use: Column) ->
 
 @dataclass
 class EmpiricalOffset:
-    """Adds to each level the quantile of its residuals."""
+    """Adds to each level the quantile of its residuals; with ``large``, by sums that hold no group's values together."""
 
     levels: tuple = LEVELS
     warm_up: int = WARM_UP
+    large: bool = False
 
     def fit(self, aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows = calibration_rows(aligned, self.warm_up, by)
-        offsets = F.array(*(F.percentile(F.col("target") - F.col("q")[i], F.lit(float(x))) for i, x in enumerate(self.levels)))
+        residuals = [F.col("target") - F.col("q")[i] for i in range(len(self.levels))]
+        if self.large:
+            return exact_quantiles(rows, [*by, "item_id", "lead_time"], residuals, self.levels).withColumnRenamed("q", "offsets")
+        offsets = F.array(*(F.percentile(v, F.lit(float(x))) for v, x in zip(residuals, self.levels)))
         return rows.groupBy(*by, "item_id", "lead_time").agg(offsets.alias("offsets"))
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -95,16 +101,15 @@ class QuantileRegressionCalibration:
         rows = rows.select(*keys, t.forward(F.col("target"), *p).alias("y"), F.transform("q", lambda x: t.forward(x, *p)).alias("x"))
 
         def one(frame: pd.DataFrame) -> pd.DataFrame:
-            y, x = frame["y"].to_numpy(float), np.stack(frame["x"].to_numpy()).astype(float)
-            good = np.isfinite(y) & np.isfinite(x).all(axis=1)
-            fits = [quantile_regression(np.column_stack([np.ones(good.sum()), x[good, i]]), y[good], a).tolist() for i, a in enumerate(levels)] if good.sum() > 1 else None
+            x, y = together(frame)
+            fits = [quantile_regression(x[:, [0, i + 1]], y, a).tolist() for i, a in enumerate(levels)] if len(y) > 1 else None
             return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "line": [fits]})
 
-        small, large = by_size(rows, keys, self.group_rows)
+        small, large = by_size(packed(rows, keys, F.concat(F.array(F.lit(1.0)), "x"), F.col("y")), keys, self.group_rows)
         fitted = small.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, line array<array<double>>")
         if large is not None:
-            blocks = packed(large, keys, F.concat(F.array(F.lit(1.0)), "x"), F.col("y"))
-            fitted = fitted.unionByName(quantile_lines(blocks, keys, levels, [[0, i + 1] for i in range(len(levels))]).select(*keys, F.col("beta").alias("line")))
+            lines = quantile_lines(large, keys, levels, [[0, i + 1] for i in range(len(levels))])
+            fitted = fitted.unionByName(lines.select(*keys, F.col("beta").alias("line")))
         return fitted.join(powers, keys)
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -172,13 +177,13 @@ class GaussianCalibration:
 
     def fit(self, aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows, scale, keys = self.rows(aligned, by)
-        small, large = by_size(rows, keys, self.group_rows)
-        joined = small.join(self.start(small, keys), keys).select(*keys, "y", "m", "spread", "a", "b", "c", "d")
+        rows = written(rows.select(*keys, "y", "m", "spread", "sigma"), "calibration")
+        start = self.start(rows, keys)
+        small, large = by_size(packed(rows, keys, F.array("m", "spread"), F.col("y")), keys, self.group_rows)
 
         def one(frame: pd.DataFrame) -> pd.DataFrame:
-            y, m, s = (frame[c].to_numpy(float) for c in ("y", "m", "spread"))
-            good = np.isfinite(y) & np.isfinite(m) & np.isfinite(s)
-            y, m, s = y[good], m[good], s[good]
+            x, y = together(frame)
+            m, s = x[:, 0], x[:, 1]
 
             def loss(p: np.ndarray) -> float:
                 sigma = p[2] + p[3] * s
@@ -186,13 +191,14 @@ class GaussianCalibration:
                     return np.inf
                 return float(np.sum(np.log(sigma) + 0.5 * ((y - p[0] - p[1] * m) / sigma) ** 2))
 
-            best = nelder_mead(loss, frame[["a", "b", "c", "d"]].iloc[0].to_numpy(float)) if len(y) else frame[["a", "b", "c", "d"]].iloc[0].to_numpy(float)
+            best = nelder_mead(loss, frame[["a", "b", "c", "d"]].iloc[0].to_numpy(float))
             return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, **{c: [best[i]] for i, c in enumerate("abcd")}})
 
-        fitted = joined.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, a double, b double, c double, d double")
+        fitted = small.join(start, keys).groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, a double, b double, c double, d double")
         if large is not None:
-            blocks = packed(large, keys, F.array("m", "spread"), F.col("y"))
-            fitted = fitted.unionByName(normal_lines(blocks, keys, self.start(large, keys)).drop("nll"))
+            fitted = fitted.unionByName(normal_lines(large, keys, start).drop("nll"))
+        # a group without a complete row keeps its start
+        fitted = start.select(*keys, *(F.col(c).alias(f"{c}0") for c in "abcd")).join(fitted, keys, "left").select(*keys, *(F.coalesce(c, f"{c}0").alias(c) for c in "abcd"))
         return fitted.join(scale, keys)
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from quandrel.functions.calendar import calendar_features, feature_columns
 from quandrel.functions.freq import Freq
 from quandrel.functions.quantiles import LEVELS, level_array, normal_quantiles
-from quandrel.operators.blockfit import GROUP_ROWS, by_size, packed, quantile_lines
+from quandrel.operators.blockfit import GROUP_ROWS, by_size, packed, quantile_lines, together
 from quandrel.operators.forecast import forecasts_of, over_leads, shifted_label
 from quandrel.operators.rolling import CHUNK, rolling_quantiles
+from quandrel.operators.selection import exact_quantiles
 from quandrel.operators.regression import quantile_regression
 
 FORECAST = "item_id {item}, timestamp timestamp_ntz, lead_time int, q array<double>"
@@ -146,17 +147,16 @@ class CalendarRegression:
         rows = rows.select("item_id", "lead_time", F.ln(F.col("label") + self.epsilon).alias("label"), *(F.ln(F.col(c) + self.epsilon).alias(c) if c == "target" else F.col(c).cast("double") for c in self.features))
         names, levels = self.features, self.levels
 
+        keys = ["item_id", "lead_time"]
+
         def one(frame: pd.DataFrame) -> pd.DataFrame:
-            x = np.column_stack([np.ones(len(frame)), frame[names].to_numpy()])
-            fits = [quantile_regression(x, frame["label"].to_numpy(), a).tolist() for a in levels]
-            return pd.DataFrame({"item_id": [frame["item_id"].iloc[0]], "lead_time": [frame["lead_time"].iloc[0]], "coefficients": [fits]})
+            x, y = together(frame)
+            return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "coefficients": [[quantile_regression(x, y, a).tolist() for a in levels]]})
 
-        keys = ["item_id", "lead_time"]
-        small, large = by_size(rows, keys, self.group_rows)
+        small, large = by_size(packed(rows, keys, F.array(F.lit(1.0), *names), F.col("label")), keys, self.group_rows)
         fitted = small.groupBy(*keys).applyInPandas(one, f"item_id {dict(rows.dtypes)['item_id']}, lead_time int, coefficients array<array<double>>")
         if large is not None:
-            lines = quantile_lines(packed(large, keys, F.array(F.lit(1.0), *names), F.col("label")), keys, levels)
-            fitted = fitted.unionByName(lines.select(*keys, F.col("beta").alias("coefficients")))
+            fitted = fitted.unionByName(quantile_lines(large, keys, levels).select(*keys, F.col("beta").alias("coefficients")))
         return fitted
 
     def states(self, series: DataFrame) -> DataFrame:
@@ -189,9 +189,12 @@ def future_windows(series: DataFrame, length: int) -> DataFrame:
     return rows.withColumn("future", F.concat("future", F.array_repeat(F.lit(None).cast("double"), length - F.size("future"))))
 
 
-def sample_quantiles(samples: DataFrame, levels) -> DataFrame:
-    """(item_id, timestamp, lead_time, q) from sampled trajectories (..., value)."""
-    return forecasts_of(samples.groupBy("item_id", "timestamp", "lead_time").agg(F.percentile("value", level_array(levels)).alias("q")))
+def sample_quantiles(samples: DataFrame, levels, large: bool = False) -> DataFrame:
+    """(item_id, timestamp, lead_time, q) from sampled trajectories (..., value); with ``large``, by exact_quantiles()."""
+    keys = ["item_id", "timestamp", "lead_time"]
+    if large:
+        return forecasts_of(exact_quantiles(samples, keys, [F.col("value")] * len(levels), levels))
+    return forecasts_of(samples.groupBy(*keys).agg(F.percentile("value", level_array(levels)).alias("q")))
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quandrel.functions.freq import Freq
+from quandrel.operators.selection import last_rows
 
 KEY = ["item_id", "timestamp"]
 
@@ -98,7 +99,7 @@ def drop_null_items(rows: DataFrame) -> DataFrame:
 
 def tail(series: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of each item."""
-    return series.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("timestamp")))).filter(F.col("_n") <= n).drop("_n")
+    return last_rows(series, ["item_id"], n).select(*series.columns)
 
 
 def with_context(data: DataFrame, earlier: DataFrame, n: int) -> DataFrame:

@@ -143,7 +143,7 @@ def line_forecasts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def eqc_offsets(spark, d):
-    offsets = calibrate.EmpiricalOffset().fit(line_forecasts(spark, d)[2]).withColumnRenamed("offsets", "q")
+    offsets = calibrate.EmpiricalOffset(large=True).fit(line_forecasts(spark, d)[2]).withColumnRenamed("offsets", "q")
     return forecast.explode_quantiles(offsets, LEVELS).select("item_id", "lead_time", "quantile", r("pred").alias("offset_value"))
 
 
@@ -196,7 +196,7 @@ def window_rows(make, name):
 
 def sample_quantiles(spark, d):
     rows = tables.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("item_id"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("timestamp"), F.col("l_linenumber").alias("lead_time"), F.col("l_extendedprice").alias("value"))
-    return quantile_rows(predictors.sample_quantiles(rows, LEVELS))
+    return quantile_rows(predictors.sample_quantiles(rows, LEVELS, large=True))
 
 
 def calendar_query(spark, d):

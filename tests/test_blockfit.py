@@ -27,6 +27,7 @@ def table(spark, n=900, seed=2):
 @pytest.mark.parametrize("columns", [None])
 def test_quantile_lines_lose_no_more_than_one_frame(spark, monkeypatch, columns):
     monkeypatch.setattr(blockfit, "PACK_BITS", 6)
+    monkeypatch.setattr(blockfit, "BAND_ROWS", 150)
     df, rows = table(spark)
     blocks = blockfit.packed(df, ["item_id", "lead_time"], F.col("v"), F.col("y"))
     assert blocks.select(F.max(F.size("y"))).first()[0] <= 64
