@@ -120,5 +120,6 @@ def random_stretch(series: DataFrame, length: int, seed: int) -> DataFrame:
     """A contiguous stretch of each item, the same for the same seed."""
     w = W.partitionBy("item_id")
     rows = series.withColumns({"_n": F.row_number().over(w.orderBy("timestamp")), "_all": F.count("*").over(w)})
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("item_id")), F.greatest(F.col("_all") - length + 1, F.lit(1))) + 1
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("item_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    start = F.pmod(draw, F.greatest(F.col("_all") - length + 1, F.lit(1))) + 1
     return rows.filter((F.col("_n") >= start) & (F.col("_n") < start + length)).drop("_n", "_all")

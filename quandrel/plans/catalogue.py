@@ -324,6 +324,88 @@ def energy_files(spark, d):
     return s.join(F.broadcast(mapping), "item_id").select("item_id", "name", "timestamp", r("target").alias("target"))
 
 
+def rate_files(spark, d):
+    """Sums by priority on weekdays as one CSV a pair, some blank, some inverse, read as a folder of rates."""
+    root = store.scratch_folder(spark, "rates")
+    stem = F.concat(F.lit("DEX"), F.substring("item_id", 3, 2), F.when(F.col("item_id") < "3", "US").otherwise("CA"))
+    rows = tables.orders_rows(spark, d).filter(F.weekday("timestamp") < 5)
+    shown = F.when(F.day("timestamp") == 13, F.lit(".")).otherwise(F.col("target").cast("decimal(20,6)").cast("string"))
+    rows.select(stem.alias("stem"), F.date_format("timestamp", "yyyy-MM-dd").alias("observation_date"), shown.alias("value")).repartition("stem").write.partitionBy("stem").option("header", True).csv(f"{root}/parts")
+    files = store.Files(spark, root)
+    for folder in (x for x in files.names(f"{root}/parts") if x.startswith("stem=")):  # five pairs
+        for k, part in enumerate(x for x in files.names(f"{root}/parts/{folder}") if x.endswith(".csv")):
+            files.fs.rename(files.path(f"{root}/parts/{folder}/{part}"), files.path(f"{root}/{folder.removeprefix('stem=')}.csv"))
+    s, mapping, _ = rates.rate_series(spark, root)
+    return s.join(F.broadcast(mapping), "item_id").select("name", "timestamp", r("target", 9).alias("target"))
+
+
+def calibration_counts(spark, d):
+    """Optimality of quantile regression lines: rows below a line are at most its share, those below or on it at least."""
+    aligned = line_forecasts(spark, d)[2]
+    post = calibrate.QuantileRegressionCalibration()
+    rows = calibrate.calibration_rows(aligned).join(post.fit(aligned), ["item_id", "lead_time"])
+    each = rows.select("item_id", "lead_time", F.posexplode(F.zip_with("q", "line", lambda x, c: F.col("target") - c[0] - c[1] * x)).alias("i", "gap"))
+    return optimality(each, 2)
+
+
+def optimality(each: DataFrame, p: int) -> DataFrame:
+    """(item_id, lead_time, quantile, n, optimal) of residuals ``gap`` by level i, for lines of ``p`` coefficients."""
+    scale = F.col("scale") * 1e-4
+    sizes = each.groupBy("item_id", "lead_time", "i").agg(F.stddev_pop("gap").alias("scale"))
+    counts = each.join(sizes, ["item_id", "lead_time", "i"]).groupBy("item_id", "lead_time", "i").agg(F.count("*").alias("n"), F.count(F.when(F.col("gap") < -scale, 1)).alias("below"), F.count(F.when(F.col("gap") <= scale, 1)).alias("upto"))
+    level = (F.col("i") + 1) / 10
+    good = (F.col("below") <= F.col("n") * level + p) & (F.col("upto") >= F.col("n") * level - p)
+    return counts.select("item_id", "lead_time", F.round(level, 1).alias("quantile"), "n", good.alias("optimal"))
+
+
+def likelihood_gain(spark, d):
+    """Rows, and whether the fitted normal law is as likely as the lines that the fit starts from."""
+    post = calibrate.GaussianCalibration()
+    aligned = line_forecasts(spark, d)[2]
+    rows, _, keys = post.rows(aligned)
+    nll = calibrate.negative_log_likelihood(F.col("y"), F.col("a") + F.col("b") * F.col("m"), F.col("c") + F.col("d") * F.col("spread"))
+    of = lambda lines, name: rows.join(lines.select(*keys, *"abcd"), keys).groupBy(*keys).agg(nll.alias(name), F.count("*").alias(f"n_{name}"))
+    both = of(post.start(rows, keys), "first").join(of(post.fit(aligned), "best"), keys)
+    return both.select(*keys, F.col("n_best").alias("n"), (F.col("best") <= F.col("first") + 1e-6).alias("as_likely"))
+
+
+def boosting_gain(spark, d):
+    """Pinball loss of the constant quantile on the calibration rows, and whether boosted stumps lose less on them."""
+    aligned = line_forecasts(spark, d)[2]
+    rows, post = calibrate.calibration_rows(aligned), calibrate.BoostedCalibration(rounds=10)
+    fitted = post.fit(aligned)
+    loss = lambda gap, a: F.when(gap >= 0, gap * a).otherwise(gap * (a - 1))
+    step = lambda s: F.when(F.get("q", s[0].cast("int")) <= s[1], s[2]).otherwise(s[3])
+    boosted = F.zip_with("base", "stumps", lambda b, trees: F.aggregate(trees, b, lambda total, s: total + step(s)))
+    each = rows.join(fitted, ["item_id", "lead_time"]).select("item_id", "lead_time", "target", F.posexplode(F.arrays_zip(F.col("base").alias("base"), boosted.alias("now"))).alias("i", "x"))
+    level = (F.col("i") + 1) / 10
+    sums = each.groupBy("item_id", "lead_time", "i").agg(F.avg(loss(F.col("target") - F.col("x.base"), level)).alias("first"), F.avg(loss(F.col("target") - F.col("x.now"), level)).alias("best"))
+    return sums.select("item_id", "lead_time", F.round(level, 1).alias("quantile"), r("first", 3).alias("base_loss"), (F.col("best") < F.col("first")).alias("improved"))
+
+
+def calendar_counts(spark, d):
+    """Optimality of the calendar regression's lines on the rows that it was fitted to."""
+    train = tables.lineitem_daily(spark, d).filter(F.col("timestamp") < at("2000-01-01"))
+    model = predictors.CalendarRegression(leads=(7,), freq=DAY)
+    f = model.predict(train, model.fit(train)).filter("q is not null")
+    log = lambda c: F.ln(c + model.epsilon)  # noqa: E731  the scale of the fit; sorted quantiles are kept apart from crossings by the counts' slack
+    each = forecast.align(f, train, DAY).filter("target is not null").select("item_id", "lead_time", F.posexplode(F.transform("q", lambda x: log(F.col("target")) - log(x))).alias("i", "gap"))
+    return optimality(each, len(model.features) + 1)
+
+
+def power_likelihood(spark, d):
+    """The profile log-likelihood of fitted Yeo-Johnson powers."""
+    rows = tables.lineitem_rows(spark, d).withColumn("target", F.col("target") / 100000)
+    fitted = Transform("yeo-johnson").fit(rows, ["item_id"])
+    z = yeo_johnson(F.col("target"), F.col("lmbda"))
+    sums = rows.join(fitted, "item_id").groupBy("item_id").agg((-F.count("*") / 2 * F.ln(F.var_pop(z)) + (F.first("lmbda") - 1) * F.sum(F.signum("target") * F.log1p(F.abs("target")))).alias("l"), F.first("mean").alias("mean"))
+    return sums.select("item_id", r("l", 2).alias("log_likelihood"))
+
+
+def stretch(spark, d):
+    return series.random_stretch(tables.orders_daily(spark, d), 40, 11)
+
+
 def supplier_rolling(spark, d):
     q = predictors.rolling_quantiles(tables.lineitem_rows(spark, d, "l_suppkey"), ["item_id"], (0.1, 0.5, 0.9), 20)
     return q.select("item_id", "timestamp", *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
@@ -398,6 +480,14 @@ QUERIES = {
     "eqc_reapplied": eqc_reapplied,
     "stored_report": stored_report,
     "energy_files": energy_files,
+    "rate_files": rate_files,
+    "random_stretch": stretch,
+    "transform_none": transformed(Transform("none")),
+    "power_likelihood": power_likelihood,
+    "qr_optimality": calibration_counts,
+    "calendar_optimality": calendar_counts,
+    "mle_likelihood": likelihood_gain,
+    "gb_improvement": boosting_gain,
     "qr_calibrated": lambda spark, d: calibrated(spark, d, calibrate.QuantileRegressionCalibration()),
     "mle_calibrated": lambda spark, d: calibrated(spark, d, calibrate.GaussianCalibration()),
     "gb_calibrated": lambda spark, d: calibrated(spark, d, calibrate.BoostedCalibration()),

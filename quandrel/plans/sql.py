@@ -121,6 +121,17 @@ def features() -> str:
 
 
 WEEKDAYS = "cal AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS k FROM (SELECT unnest(generate_series(lo, hi + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS timestamp FROM lim) WHERE isodow(timestamp) < 6)"
+def power_rounds(rounds: int = 4, points: int = 21) -> str:
+    """Grids of powers, each about the best of the last; the likelihood of the last grid's best."""
+    z = "CASE WHEN abs(p) < 1e-12 THEN ln(y + 1) ELSE (pow(y + 1, p) - 1) / p END"
+    parts = ["b0 AS (SELECT DISTINCT item_id, 0.5::DOUBLE AS mid, 2.5::DOUBLE AS half FROM y)"]
+    for k in range(rounds):
+        parts.append(f"""g{k} AS (SELECT item_id, mid, half, i, mid + half * (i / {(points - 1) / 2} - 1) AS p FROM b{k}, (SELECT unnest(range({points})) AS i)),
+l{k} AS (SELECT item_id, mid, half, i, p, -count(*) / 2.0 * ln(var_pop({z})) + (p - 1) * sum(ln(1 + y)) AS l FROM g{k} JOIN y USING (item_id) GROUP BY ALL),
+b{k + 1} AS (SELECT item_id, arg_max(p, l) AS mid, max(half) / {(points - 1) / 2} AS half, max(l) AS l FROM l{k} GROUP BY item_id)""")
+    return ", ".join(parts) + f" SELECT item_id, round(l, 2) AS log_likelihood FROM b{rounds}"
+
+
 YJ = "CASE WHEN x >= 0 THEN (pow(x + 1, 0.25) - 1) / 0.25 WHEN x < 0 THEN -(pow(1 - x, 1.75) - 1) / 1.75 END"
 
 ORACLES = {
@@ -229,6 +240,19 @@ ORACLES = {
     "stored_report": f"{MODEL_TABLE} SELECT 'first' AS run, model, round(avg(c), 6) AS crps, '1,7' AS leads FROM ml GROUP BY model",
     "energy_files": f"""WITH {LINE_ROWS}, n AS (SELECT unnest(range(3)) AS item_id, unnest(['A', 'N', 'R']) AS name)
       SELECT CAST(n.item_id AS BIGINT) AS item_id, name, d.timestamp, s.target FROM (SELECT DISTINCT timestamp FROM src) d CROSS JOIN n LEFT JOIN src s ON s.item_id = n.name AND s.timestamp = d.timestamp""",
+    "rate_files": f"""WITH {ORDER_ROWS}, raw AS (SELECT substr(item_id, 3, 2) AS code, item_id < '3' AS turned, timestamp, CASE WHEN day(timestamp) <> 13 THEN target END AS v FROM src WHERE isodow(timestamp) < 6),
+      named AS (SELECT CASE WHEN turned THEN 'US' || code ELSE code || 'CA' END AS name, timestamp, CASE WHEN turned THEN CASE WHEN v <> 0 THEN 1.0 / v END ELSE v END AS target FROM raw)
+      SELECT n.name, t.timestamp, round(named.target, 9) AS target FROM (SELECT DISTINCT name FROM named) n CROSS JOIN (SELECT DISTINCT timestamp FROM named) t LEFT JOIN named ON named.name = n.name AND named.timestamp = t.timestamp""",
+    "random_stretch": f"""WITH {ORDERS}, n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY timestamp) AS k, count(*) OVER (PARTITION BY item_id) AS c FROM series),
+      s AS (SELECT *, ('0x' || substr(md5('11:' || item_id), 1, 8))::BIGINT % greatest(c - 39, 1) + 1 AS first FROM n) SELECT item_id, timestamp, target FROM s WHERE k >= first AND k < first + 40""",
+    "transform_none": f"WITH {LINES} SELECT item_id, timestamp, round(target, 6) AS z, round(target, 3) AS back FROM series",
+    "power_likelihood": f"WITH {LINE_ROWS}, y AS (SELECT item_id, target / 100000 AS y FROM src WHERE target IS NOT NULL), {power_rounds()}",
+    "qr_optimality": f"{LINE_CAL}, {LEVEL_ROWS} SELECT item_id, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, count(*) AS n, true AS optimal FROM cal, lv GROUP BY ALL",
+    "calendar_optimality": f"""WITH {LINES}, {LEVEL_ROWS}, tr AS (SELECT * FROM series WHERE timestamp < TIMESTAMP '2000-01-01' AND target IS NOT NULL)
+      SELECT a.item_id, CAST(7 AS INTEGER) AS lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, count(*) AS n, true AS optimal FROM tr a JOIN tr b ON a.item_id = b.item_id AND b.timestamp = a.timestamp + INTERVAL 7 DAY, lv GROUP BY ALL""",
+    "mle_likelihood": f"{LINE_CAL} SELECT item_id, lead_time, count(*) AS n, true AS as_likely FROM cal GROUP BY ALL",
+    "gb_improvement": f"""{LINE_CAL}, {LEVEL_ROWS}, bs AS (SELECT item_id, lead_time, i, quantile_cont(target, {LEVELS})[i] AS b FROM cal, lv GROUP BY ALL)
+      SELECT item_id, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round(avg(CASE WHEN target >= b THEN (target - b) * i / 10.0::DOUBLE ELSE (b - target) * (1 - i / 10.0::DOUBLE) END), 3) AS base_loss, true AS improved FROM cal JOIN bs USING (item_id, lead_time) GROUP BY ALL""",
     "supplier_rolling": """WITH src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL)
       SELECT item_id, timestamp, round(quantile_cont(target, 0.1) OVER w, 6) AS q10, round(quantile_cont(target, 0.5) OVER w, 6) AS q50, round(quantile_cont(target, 0.9) OVER w, 6) AS q90
       FROM src WINDOW w AS (PARTITION BY item_id ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
