@@ -7,8 +7,8 @@ Plan.
    and groups are what the large shuffle by shingle carries; shingles of one group only go, the rest expand to classes
    (distinct sets; copies of a document are one class).
 3. Bounds on size and on position, then on the overlap by 1024-bit parity signatures, drop pairs; the sets of what is left
-   are compared.  First each class meets the smallest set under each of its shingles, which has least besides a passage that
-   they share; the links found are components.  Then only pairs that share a shingle and are in different components are
+   are compared.  First each class meets two sets under each of its shingles: the smallest, which has least besides a passage
+   that they share, and that in which the shingle stands first; the links found are components.  Then only pairs that share a shingle and are in different components are
    compared, shingles of the same classes counting as one, so that a large group of near copies is never expanded into all
    pairs, while no pair that could join two components is left out.
 
@@ -182,10 +182,13 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     inside = members.filter("size > 1").select(F.xxhash64("group_id", "n").alias("token"), "class_id", "n", F.lit(0).alias("pos"))
     lists = staged(met.unionByName(inside), "lists")
 
-    # the smallest set under a shingle has least besides it: what else shares a passage is likest to it
-    first = lists.groupBy("token").agg(F.min(F.struct(F.col("n").alias("na"), F.col("class_id").alias("a"), F.col("pos").alias("pa"))).alias("hub"))
-    hubs = staged(first.select("token", "hub.*"), "first-hubs")
-    star = lists.select("token", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "token").filter("a <> b").filter(could_link(num, den)).select("a", "b").distinct()
+    # two hubs a shingle: the smallest set has least besides it, so what else shares a passage is likest to it; the set in
+    # which it stands first has fewest shingles of its own, as a text has of which the others are altered copies
+    hub = [F.col("n").alias("na"), F.col("class_id").alias("a"), F.col("pos").alias("pa")]
+    first = lists.groupBy("token").agg(F.min(F.struct(*hub)).alias("small"), F.min(F.struct(hub[2], hub[0], hub[1])).alias("plain"))
+    both = first.select("token", F.inline(F.array_distinct(F.array(F.struct("small.na", "small.a", "small.pa"), F.struct("plain.na", "plain.a", "plain.pa")))))
+    hubs = staged(both, "first-hubs")
+    star = lists.select("token", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "token").filter("a <> b").filter(could_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     find = link_finder(docs, classes, k, num, den)
     tried = staged(star, "star")
     links = staged(find(tried), "links")
