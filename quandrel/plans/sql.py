@@ -127,7 +127,7 @@ def power_rounds(rounds: int = 4, points: int = 21) -> str:
     parts = ["b0 AS (SELECT DISTINCT item_id, 0.5::DOUBLE AS mid, 2.5::DOUBLE AS half FROM y)"]
     for k in range(rounds):
         parts.append(f"""g{k} AS (SELECT item_id, mid, half, i, mid + half * (i / {(points - 1) / 2} - 1) AS p FROM b{k}, (SELECT unnest(range({points})) AS i)),
-l{k} AS (SELECT item_id, mid, half, i, p, -count(*) / 2.0 * ln(var_pop({z})) + (p - 1) * sum(ln(1 + y)) AS l FROM g{k} JOIN y USING (item_id) GROUP BY ALL),
+l{k} AS (SELECT item_id, mid, half, i, p, -count(*) / 2.0 * ln(var_pop({z})) + (p - 1) * sum(ln(1 + y)) AS l FROM g{k} JOIN y USING (item_id) GROUP BY item_id, mid, half, i, p),
 b{k + 1} AS (SELECT item_id, arg_max(p, l) AS mid, max(half) / {(points - 1) / 2} AS half, max(l) AS l FROM l{k} GROUP BY item_id)""")
     return ", ".join(parts) + f" SELECT item_id, round(l, 2) AS log_likelihood FROM b{rounds}"
 
@@ -251,8 +251,8 @@ ORACLES = {
     "calendar_optimality": f"""WITH {LINES}, {LEVEL_ROWS}, tr AS (SELECT * FROM series WHERE timestamp < TIMESTAMP '2000-01-01' AND target IS NOT NULL)
       SELECT a.item_id, CAST(7 AS INTEGER) AS lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, count(*) AS n, true AS optimal FROM tr a JOIN tr b ON a.item_id = b.item_id AND b.timestamp = a.timestamp + INTERVAL 7 DAY, lv GROUP BY ALL""",
     "mle_likelihood": f"{LINE_CAL} SELECT item_id, lead_time, count(*) AS n, true AS as_likely FROM cal GROUP BY ALL",
-    "gb_improvement": f"""{LINE_CAL}, {LEVEL_ROWS}, bs AS (SELECT item_id, lead_time, i, quantile_cont(target, {LEVELS})[i] AS b FROM cal, lv GROUP BY ALL)
-      SELECT item_id, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round(avg(CASE WHEN target >= b THEN (target - b) * i / 10.0::DOUBLE ELSE (b - target) * (1 - i / 10.0::DOUBLE) END), 3) AS base_loss, true AS improved FROM cal JOIN bs USING (item_id, lead_time) GROUP BY ALL""",
+    "gb_improvement": f"""{LINE_CAL}, {LEVEL_ROWS}, ls AS (SELECT item_id, lead_time, quantile_cont(target, {LEVELS}) AS b FROM cal GROUP BY ALL), bs AS (SELECT item_id, lead_time, i, b[i] AS b FROM ls, lv)
+      SELECT item_id, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round(avg(CASE WHEN target >= b THEN (target - b) * i / 10.0::DOUBLE ELSE (b - target) * (1 - i / 10.0::DOUBLE) END), 3) AS base_loss, true AS improved FROM cal JOIN bs USING (item_id, lead_time) GROUP BY item_id, lead_time, i""",
     "supplier_rolling": """WITH src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL)
       SELECT item_id, timestamp, round(quantile_cont(target, 0.1) OVER w, 6) AS q10, round(quantile_cont(target, 0.5) OVER w, 6) AS q50, round(quantile_cont(target, 0.9) OVER w, 6) AS q90
       FROM src WINDOW w AS (PARTITION BY item_id ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
