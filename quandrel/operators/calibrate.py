@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.quantiles import LEVELS, complete, normal_scores
 from quandrel.functions.transform import Transform
+from quandrel.operators.blockboost import boosted_stumps
 from quandrel.operators.blockfit import GROUP_ROWS, by_size, normal_lines, packed, quantile_lines, together
 from quandrel.operators.forecast import forecasts_of
 from quandrel.operators.ordered import written
@@ -214,22 +215,28 @@ class GaussianCalibration:
 
 @dataclass
 class BoostedCalibration:
-    """Boosted stumps for each level on all quantiles of the forecast."""
+    """Boosted stumps for each level on all quantiles of the forecast.
+
+    Groups of more than ``group_rows`` rows are fitted by sums over blocks, and not in one task.
+    """
 
     levels: tuple = LEVELS
     warm_up: int = WARM_UP
     rounds: int = 50
+    group_rows: int = GROUP_ROWS
 
     def fit(self, aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         keys, levels, rounds = [*by, "item_id", "lead_time"], self.levels, self.rounds
         rows = calibration_rows(aligned, self.warm_up, by).select(*keys, "target", "q")
 
         def one(frame: pd.DataFrame) -> pd.DataFrame:
-            x, y = np.stack(frame["q"].to_numpy()).astype(float), frame["target"].to_numpy(float)
+            x, y = together(frame)
             fits = [Stumps(a, rounds).fit(x, y) for a in levels]
             return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "base": [[f.base for f in fits]], "stumps": [[f.stumps for f in fits]]})
 
-        return rows.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, base array<double>, stumps array<array<array<double>>>")
+        small, large = by_size(packed(rows, keys, F.col("q"), F.col("target")), keys, self.group_rows)
+        fitted = small.groupBy(*keys).applyInPandas(one, f"{key_ddl(rows, by)}, base array<double>, stumps array<array<array<double>>>")
+        return fitted if large is None else fitted.unionByName(boosted_stumps(large, keys, levels, rounds))
 
     def apply(self, forecasts: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         joined = with_params(forecasts, params, by)

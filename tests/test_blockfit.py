@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.freq import Freq
 from quandrel.operators import blockfit, calibrate, predictors
+from quandrel.operators.blockboost import boosted
 from quandrel.operators.regression import pinball_loss, quantile_regression
 
 LEVELS = (0.1, 0.5, 0.8)
@@ -73,6 +74,17 @@ def test_calibration_lines_of_large_groups_lose_no_more(spark):
             assert loss[0] <= loss[1] * (1 + 1e-6)
 
 
+def test_boosting_of_large_groups_loses_as_little(spark):
+    df = aligned(spark, 400)
+    many, one = ({r.item_id: r for r in calibrate.BoostedCalibration(levels=LEVELS, warm_up=20, rounds=3, group_rows=n).fit(df).collect()} for n in (0, 1_000_000))
+    rows = calibrate.calibration_rows(df, 20).collect()
+    for item in ("a", "b"):
+        x, y = np.array([r.q for r in rows if r.item_id == item]), np.array([r.target for r in rows if r.item_id == item])
+        for i, level in enumerate(LEVELS):
+            a, b, first = (pinball_loss(y - boosted(x, [f.base[i]], [t])[0], level) for f, t in ((many[item], many[item].stumps[i]), (one[item], one[item].stumps[i]), (one[item], [])))
+            assert len(many[item].stumps[i]) == 3 and a == pytest.approx(b, rel=5e-3) and a < first  # leaves of few rows differ by the interpolation
+
+
 def test_calendar_regression_of_large_groups(spark):
     rng = np.random.default_rng(1)
     rows = [("a", datetime(2025, 1, 1) + timedelta(hours=i), float(50 + 10 * np.sin(i / 24 * 6.283) + rng.normal())) for i in range(400)]
