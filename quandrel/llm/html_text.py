@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ MARKS = {
     "sidebar", "menu", "nav", "navbar", "navigation", "navigationbar", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar",
     "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended",
-    "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchform", "form", "widget", "contentinfo", "complementary",
+    "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchform", "form", "widget", "contentinfo", "complementary", "dialog", "reviews",
 }
 # Tags whose text goes to the end of the page where they aren't closed.
 SWALLOW = {"script", "style", "textarea", "iframe", "noscript", "template"}
@@ -103,9 +104,27 @@ def doubt_of(attributes: str, article: bool) -> int:
     return most
 
 
+def wrapping_forms(lower: str) -> set[int]:
+    """Ends of the start tags of forms that are the page's frame: they hold an article, or most of its paragraphs where there is none."""
+    forms = [m.end() for m in re.finditer(r"<form\b[^>]*>", lower)]
+    if not forms:
+        return set()
+    closes, paragraphs = ([m.start() for m in re.finditer(x, lower)] for x in (r"</form\b", r"<p[\s>]"))
+    articles = [m.start() for m in re.finditer(r"<(?:article|main)\b", lower)]
+    out = set()
+    for at in forms:
+        close = bisect_left(closes, at)
+        end = closes[close] if close < len(closes) else len(lower)
+        inside = lambda places: bisect_left(places, end) - bisect_left(places, at)  # noqa: B023, E731
+        if inside(articles) or not articles and inside(paragraphs) >= 3 and 2 * inside(paragraphs) > len(paragraphs):
+            out.add(at)
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     lower = page.lower()
+    frames = wrapping_forms(lower) if len(lower) == len(page) else set()
     closing = {t: lower.rfind(f"</{t}") for t in AWAY | RAW | {"header"}}
     out: list[Block] = []
     stack: list[tuple[str, int, bool, int]] = [("", FREE, False, 0)]  # tag, doubt, in an article, number
@@ -156,8 +175,8 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in ("article", "main"):  # resets what generic wrappers are named
                     doubt, article = GONE if doubt == GONE or marks_of(m[3]) & COMMENT_MARKS else FREE, True
                 elif tag not in ("html", "body"):
-                    gone = (tag in AWAY and closing[tag] > at) or (tag == "header" and not article and closing[tag] > at)
-                    doubt = GONE if gone else max(doubt, doubt_of(m[3], article))
+                    gone = (tag in AWAY and closing[tag] > at and at not in frames) or (tag == "header" and not article and closing[tag] > at)
+                    doubt = GONE if gone else doubt if at in frames else max(doubt, doubt_of(m[3], article))
                 stack.append((tag, doubt, article, number))
             elif tag in CONTAINERS:
                 for i in range(len(stack) - 1, 0, -1):
