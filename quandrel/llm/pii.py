@@ -21,18 +21,18 @@ TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|S
 NAME = r"\p{Lu}[\p{L}'-]+"
 # Kinds that begin where a word may begin, and those that begin with a digit, a sign or a bracket.
 AT_WORDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "email": r"(?<![A-Za-zÀ-ÖØ-öø-ɏ0-9._%+-])[A-Za-zÀ-ÖØ-öø-ɏ0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----))++-----END [A-Z ]{0,40}PRIVATE KEY-----",
     "api_token": r"\b(?:(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+)",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.=~-]{7,}[A-Za-z0-9+/_=~-][\"']?",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "secret": r"\b(?i:(?:[a-z0-9]{1,20}+[_-]){0,3}(?:password|passwd|passwort|pwd|token|secret|api[_-]?key)(?:[_-](?:access[_-])?key)?)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?:[A-Za-z0-9+/_.=~-]{7,}[A-Za-z0-9+/_=~-]|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,7}(?![A-Za-z0-9+/_=~-]))[\"']?",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[0-9]{4}){2} ?[0-9]{3})\b",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:])",
     "person": rf"\b{TITLE}\.? {NAME}(?: {NAME})?",
 }
 AT_NUMBERS = {
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
-    "card": r"(?<![0-9+.-])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9+.-])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+])(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
