@@ -411,6 +411,16 @@ def supplier_rolling(spark, d):
     return q.select("item_id", "timestamp", *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
 
 
+def supplier_crps(spark, d):
+    """Scores of raw and calibrated forecasts of a series a supplier: forecast, calibration and scores that grow with the tables."""
+    s = tables.supplier_daily(spark, d)
+    f = predictors.RollingQuantiles(leads=(7,), last_n=20, freq=DAY).predict(s)
+    aligned, post = forecast.align(f, s, DAY), calibrate.EmpiricalOffset()
+    both = aligned.withColumn("model", F.lit("raw")).unionByName(post.apply(aligned, post.fit(aligned)).withColumn("model", F.lit("eqc")))
+    scores = metrics.crps_table(metrics.crps_rows(both, LEVELS, 7, ["model"]), ["model"])
+    return scores.select("model", "item_id", "lead_time", r("crps", 4).alias("crps"))
+
+
 QUERIES = {
     "series_grid": tables.events_hourly,
     "series_duplicates": series_duplicates,
@@ -470,6 +480,7 @@ QUERIES = {
     "backtest_single": lambda spark, d: backtest_rows(spark, d, FOLDS[:1]),
     "backtest_rolling": lambda spark, d: backtest_rows(spark, d, FOLDS),
     "supplier_rolling": supplier_rolling,
+    "supplier_crps": supplier_crps,
     "backtest_on_train": calibrated_on("train"),
     "backtest_on_train_val": calibrated_on("train_val"),
     "factorized": factorized,

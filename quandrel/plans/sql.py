@@ -134,6 +134,9 @@ b{k + 1} AS (SELECT item_id, arg_max(p, l) AS mid, max(half) / {(points - 1) / 2
 
 YJ = "CASE WHEN x >= 0 THEN (pow(x + 1, 0.25) - 1) / 0.25 WHEN x < 0 THEN -(pow(1 - x, 1.75) - 1) / 1.75 END"
 
+SUPPLIERS = f"src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL), {grid('DAY')}"
+SUPPLIER_CAL = f"WITH {SUPPLIERS}, {rolled(20)}, {led((7,))}, {aligned('day')}, cal_n AS (SELECT *, row_number() OVER (PARTITION BY item_id, lead_time ORDER BY timestamp) AS rn FROM al), cal AS (SELECT * FROM cal_n WHERE rn > 200 AND {COMPLETE}), {OFFSETS}"
+
 ORACLES = {
     "series_grid": f"WITH {EVENTS} SELECT * FROM series",
     "series_duplicates": "SELECT event_type AS item_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
@@ -253,6 +256,9 @@ ORACLES = {
     "mle_likelihood": f"{LINE_CAL} SELECT item_id, lead_time, count(*) AS n, true AS as_likely FROM cal GROUP BY ALL",
     "gb_improvement": f"""{LINE_CAL}, {LEVEL_ROWS}, ls AS (SELECT item_id, lead_time, quantile_cont(target, {LEVELS}) AS b FROM cal GROUP BY ALL), bs AS (SELECT item_id, lead_time, i, b[i] AS b FROM ls, lv)
       SELECT item_id, lead_time, round(i / 10.0::DOUBLE, 1) AS quantile, round(avg(CASE WHEN target >= b THEN (target - b) * i / 10.0::DOUBLE ELSE (b - target) * (1 - i / 10.0::DOUBLE) END), 3) AS base_loss, true AS improved FROM cal JOIN bs USING (item_id, lead_time) GROUP BY item_id, lead_time, i""",
+    "supplier_crps": f"""{SUPPLIER_CAL}, both_models AS (SELECT 'raw' AS model, item_id, timestamp, lead_time, q, target FROM al UNION ALL
+      SELECT 'eqc', item_id, timestamp, lead_time, CASE WHEN o IS NULL OR q IS NULL THEN q ELSE {SHIFTED} END, target FROM al LEFT JOIN offs USING (item_id, lead_time)), {trimmed(7, 'both_models', by='model, ')}
+      SELECT model, item_id, lead_time, round(avg(crps), 4) AS crps FROM tr GROUP BY ALL""",
     "supplier_rolling": """WITH src AS (SELECT l_suppkey AS item_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS timestamp, round(sum(l_extendedprice), 6) AS target FROM lineitem GROUP BY ALL)
       SELECT item_id, timestamp, round(quantile_cont(target, 0.1) OVER w, 6) AS q10, round(quantile_cont(target, 0.5) OVER w, 6) AS q50, round(quantile_cont(target, 0.9) OVER w, 6) AS q90
       FROM src WINDOW w AS (PARTITION BY item_id ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
