@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b); root is the smallest node that links reach.
 
     Loops and repeated edges are ignored, null ends too.  Each round is two shuffles of the edges, and rounds grow with
-    the logarithm of the nodes; a hub's edges are split by AQE, for both joins are plain equi-joins.
+    the logarithm of the nodes.  Sums by node are made by map-side combining; their joins with the edges send a hub's
+    edges to one task, for AQE doesn't split a join with a sum right below it.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None

@@ -130,7 +130,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
     added = ("host", "path", "rule", "verdict", "template", "purity")
     columns = [c for c in pages.columns if c not in added]
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    mine = pages.select(F.struct(*columns).alias("page"), host.alias("host"), path.alias("path"))
+    mine = pages.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("page"), host.alias("host"), path.alias("path"))
     mine = mine.withColumn("fits", longest_rule(rules, F.col("host"), F.col("path"))).withColumn("segs", segments_of(F.col("path")))
     keyed = mine.select("page", "host", "path", "fits", F.array_join(F.concat(F.array(F.lit("")), F.col("segs")), "/").alias("shape"))
     if labels is None:
