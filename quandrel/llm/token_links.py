@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ from quandrel.llm.staging import light_batches, staged
 MODEL_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: A-B pairs of a group that are counted one by one.
 EACH = 4_096
+#: Bytes of text that are aligned at a time.
+STEP_BYTES = 1 << 20
 #: Distinct pairs (some 30 bytes each) that are broadcast; more are joined by shuffle.
 FEW_PAIRS = 1_000_000
 #: Split of a text before A's merges, as a ByteLevel pre-tokenizer does it (fixed value).
@@ -237,6 +240,18 @@ class Aligner:
         return [*(pa.array(x) for x in (total(w.n_a), total(w.n_b), total(w.n_groups), links)), pa.array(hashed, pa.string()), *lists]
 
 
+def steps(texts: pa.Array) -> list[tuple[int, int]]:
+    """Runs of texts of STEP_BYTES at most, or of one longer text."""
+    sizes = np.nan_to_num(np.array(pc.binary_length(texts).to_pylist(), dtype=float))
+    out, lo, total = [], 0, 0.0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > STEP_BYTES:
+            out.append((lo, i))
+            lo, total = i, 0.0
+        total += n
+    return out + [(lo, len(sizes))] if len(sizes) else []
+
+
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_a", "link_b", "link_n"]
 
 
@@ -251,7 +266,9 @@ def groups_of(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(ByteBpe(model_a), Pieces(model_b))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + aligner.documents(batch.column("text").to_pylist()), rest + added)
+            for lo, hi in steps(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + aligner.documents(part.column("text").to_pylist()), rest + added)
 
     numbers = [T.StructField(n, T.LongType()) for n in added[:4]] + [T.StructField(added[4], T.StringType())]
     lists = [T.StructField(n, T.ArrayType(k)) for n, k in zip(added[5:], (T.IntegerType(), T.IntegerType(), T.LongType()))]

@@ -89,6 +89,13 @@ def test_groups_of_many_ids_count_by_distinct_ids(spark, monkeypatch):
     assert found(token_links.link_tokens(docs)) == want
 
 
+def test_steps_cover_a_batch():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 700_000, None, "y" * 400_000, "", "z" * 3_000_000, "a", "b" * 1_048_576])
+    assert token_links.steps(texts) == [(0, 2), (2, 4), (4, 5), (5, 6), (6, 7)] and token_links.steps(texts[:0]) == []
+
+
 def test_columns_pass_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 5, "y")], "doc_id int, text string, `a.b` string, link_a int, row string")
     got = token_links.link_tokens(docs)
