@@ -212,14 +212,14 @@ def log_probabilities(wanted: DataFrame, tables: list) -> DataFrame:
 
 
 def gram_scores(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b, p, p1, t) of ``wanted`` (a, b): p and p1 by a language's good model, t by its other one, or null without any."""
+    """(a, b, p, p1, t, t1) of ``wanted`` (a, b): p and p1 by a language's good model, t and t1 by its other one, or null without any."""
     tables = order_tables(counts)
     step = 1 << 2 * BITS
     other = tables[0][0].select(model_of().alias("model")).filter("model & 1 = 1").distinct()
     twins = wanted.withColumn("model", model_of() + 1).join(other, "model").select((F.col("a") + F.lit(step)).alias("a"), "b")
     both = staged(log_probabilities(staged(wanted.unionByName(twins), "wanted"), tables), "log-probabilities")
     odd = model_of().bitwiseAND(F.lit(1)) == 1
-    return both.filter(~odd).join(both.filter(odd).select((F.col("a") - F.lit(step)).alias("a"), "b", F.col("p").alias("t")), ["a", "b"], "left")
+    return both.filter(~odd).join(both.filter(odd).select((F.col("a") - F.lit(step)).alias("a"), "b", F.col("p").alias("t"), F.col("p1").alias("t1")), ["a", "b"], "left")
 
 
 def word_bounds(b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,24 +244,24 @@ def word_bounds(b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Table:
     """Grams' logarithms of probability by key."""
 
-    def __init__(self, a, b, p, p1, t):
+    def __init__(self, a, b, *values):
         keys = key(np.asarray(a), np.asarray(b))
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.values = np.stack([np.asarray(x, np.float32)[order] for x in (p, p1, t)], axis=1)
+        self.values = np.stack([np.asarray(x, np.float32)[order] for x in values], axis=1)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """[gram, (p, p1, t)]: each distinct gram is looked up once."""
+        """[gram, (p, p1, t, t1)]: each distinct gram is looked up once."""
         keys = key(a, b)
         order, first = runs(a, b, keys)
         found = self.values[np.searchsorted(self.keys, keys[order[first]])]
-        out = np.empty((len(a), 3), np.float32)
+        out = np.empty((len(a), self.values.shape[1]), np.float32)
         out[order] = np.repeat(found, np.diff(np.append(first, len(a))), axis=0)
         return out
 
 
-def scores(texts: pa.Array, models: pa.Array, trusted: np.ndarray, table: Table) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(perplexity, worst word, contrast) of texts; trusted ones by the model that lacks what they alone hold.
+def scores(texts: pa.Array, models: pa.Array, trusted: np.ndarray, toxic: np.ndarray, table: Table) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(perplexity, worst word, contrast) of texts; those of a model by what it holds without what they alone hold.
 
     The worst word is the largest mean surprise of a word's letters.  Contrast adds up by how much over MARGIN words are
     likelier under the other model, a word of the text.
@@ -273,36 +273,37 @@ def scores(texts: pa.Array, models: pa.Array, trusted: np.ndarray, table: Table)
             continue
         value = table.of(a, b)
         good = np.where(trusted[lo + row], value[:, 1], value[:, 0]).astype(np.float64)
+        other = np.where(toxic[lo + row], value[:, 3], value[:, 2]).astype(np.float64)
         size = np.bincount(row, minlength=n)
         mean = np.where(size > 0, np.exp(-np.bincount(row, good, n) / np.maximum(size, 1)), np.nan)
         start, end, plain = word_bounds(b, row)
         sums = np.concatenate([[0.0], np.cumsum(good)])
         worst = np.full(n, -np.inf)
         np.maximum.at(worst, row[start[plain]], -(sums[end[plain]] - sums[start[plain]]) / (end - start)[plain])
-        gain = np.concatenate([[0.0], np.cumsum(np.nan_to_num(value[:, 2].astype(np.float64) - good))])
+        gain = np.concatenate([[0.0], np.cumsum(np.nan_to_num(other - good))])
         over = np.maximum(gain[end] - gain[start] - MARGIN, 0)
         contrast = np.bincount(row[start], over, n) / (np.bincount(row[start], minlength=n) + MORE_WORDS)
-        lacks = np.bincount(row, np.isnan(value[:, 2]), n) > 0
+        lacks = np.bincount(row, np.isnan(other), n) > 0
         parts.append((mean, np.where(np.isinf(worst), np.nan, worst), np.where(lacks | (size == 0), np.nan, contrast)))
     return tuple(pa.array(x := np.concatenate(c), mask=np.isnan(x)) for c in zip(*parts))
 
 
 def score_documents(docs: DataFrame, training: DataFrame, most: int) -> DataFrame:
-    """``docs`` (doc_id, lang, th, model, trusted, text) with perplexity, worst_word and contrast instead of model and text.
+    """``docs`` (doc_id, lang, th, model, trusted, toxic, text) with perplexity, worst_word and contrast instead of model and text.
 
     ``training`` (model, th, text) has the texts of all models.  Up to ``most`` distinct grams of all documents are
     broadcast with their probabilities; more are grouped with the texts, each part of the documents with its own grams.
     """
     counts = staged(count_grams(training), "counts")
     table = staged(gram_scores(staged(distinct_grams(docs), "grams"), counts), "gram-scores")
-    kept = ["doc_id", "lang", "th", "trusted"]
+    kept = ["doc_id", "lang", "th", "trusted", "toxic"]
     schema = docs.select(*kept).schema.add("perplexity", "double").add("worst_word", "double").add("contrast", "double")
-    names = ("a", "b", "p", "p1", "t")
+    names = ("a", "b", "p", "p1", "t", "t1")
 
     def columns(rows: pa.RecordBatch | pa.Table, table: Table) -> list:
-        text, model, own = (rows.column(x) for x in ("text", "model", "trusted"))
-        text, model, own = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (text, model, own))
-        return [*(rows.column(x) for x in kept), *scores(text, model, own.to_numpy(zero_copy_only=False).astype(bool), table)]
+        text, model, *own = (rows.column(x) for x in ("text", "model", "trusted", "toxic"))
+        text, model = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (text, model))
+        return [*(rows.column(x) for x in kept), *scores(text, model, *(x.to_numpy().astype(bool) if isinstance(x, pa.ChunkedArray) else x.to_numpy(zero_copy_only=False).astype(bool) for x in own), table)]
 
     if table.count() <= most:
         got = table.toArrow()

@@ -3,8 +3,8 @@
 Plan.  kneser.py counts the n-grams of all trusted texts by language, joins the grams of all documents with the counts in
 shards, and scores every document.  A document is rejected
 1. if its perplexity is over a quantile of the trusted texts of its language;
-2. where toxic texts of its language are labelled, if its contrast is over a quantile of theirs: a second model of the same
-   kind counts the toxic texts, and words that it finds likelier speak against a document;
+2. where toxic texts of its language are labelled, if its contrast is over a limit between theirs and those of toxic texts:
+   a second model of the same kind counts the toxic texts, and words that it finds likelier speak against a document;
 3. where none are, if its worst word is over a quantile of theirs.
 """
 
@@ -20,8 +20,11 @@ from quandrel.llm.staging import light_batches, staged
 BROADCAST_ROWS = 1_000_000
 #: Up to so many grams of all documents, 20 bytes each, are broadcast with their probabilities.
 BROADCAST_GRAMS = 2_000_000
-#: Shares of trusted texts that each rule allows.
-QUANTILE, WORD_QUANTILE, CONTRAST_QUANTILE = 0.98, 0.98, 0.99
+#: Shares of trusted texts that each rule allows, the contrast's at least.
+QUANTILE, WORD_QUANTILE, CONTRAST_QUANTILE = 0.98, 0.98, 0.95
+#: The contrast's limit lies so far from the value that all but EDGE of trusted texts stay under to the one that all but EDGE
+#: of toxic texts stay over; nearer to the trusted ones, for toxic texts with new words score lower than those labelled.
+EDGE, WAY = 0.1, 1 / 3
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -43,9 +46,9 @@ def classify(
 
     ``trusted_ids`` (doc_id) names trusted documents of ``docs``, ``toxic_ids`` (doc_id) toxic ones; an id in both is
     toxic.  Their texts, all of them, train the models of their language.  th is xxhash64 of the text.  A row is kept if
-    none of its scores is over its threshold, the quantile of that score among trusted rows of its language; a row as high
-    as the threshold stays.  Trusted rows are scored without what they alone hold.  The worst word counts only where there
-    is no contrast.  Languages without trusted rows, and null ones, take the models and thresholds of all languages; with
+    none of its scores is over its threshold, the quantile of that score among trusted rows of its language; the contrast's
+    lies on the way to the toxic rows' contrasts if that is higher.  A row as high as the threshold stays.  Trusted and toxic
+    rows are scored without what they alone hold.  The worst word counts only where there is no contrast.  Languages without trusted rows, and null ones, take the models and thresholds of all languages; with
     no trusted rows at all every text is kept.
 
     Null and empty texts have no perplexity and are not kept.  Rows that repeat a doc_id are judged each by its own text.
@@ -60,18 +63,22 @@ def classify(
     known = mine.filter("(trusted or toxic) and text > ''")
     number = (2 * (F.pmod(F.xxhash64("lang"), F.lit(kneser.LANGUAGES)) + 1)).cast("int")
     languages = small(staged(known.filter("trusted").select("lang").distinct().withColumn("of_own", number), "languages"))
-    modelled = mine.join(languages, "lang", "left").select("doc_id", "lang", "th", "trusted", F.coalesce("of_own", F.lit(0)).alias("model"), "text")
+    modelled = mine.join(languages, "lang", "left").select("doc_id", "lang", "th", "trusted", "toxic", F.coalesce("of_own", F.lit(0)).alias("model"), "text")
     side = F.col("toxic").cast("int")
     training = known.select((number + side).alias("model"), "th", "text")
     if not modelled.filter("model = 0 and text > ''").isEmpty():
         training = training.unionByName(known.select(side.alias("model"), "th", "text"))
     scored = staged(kneser.score_documents(modelled, training, BROADCAST_GRAMS), "scored")
 
-    own = scored.filter("trusted and perplexity is not null")
+    labelled = scored.filter("(trusted or toxic) and perplexity is not null")
     rules = (("perplexity", "threshold", quantile), ("worst_word", "word_threshold", word_quantile), ("contrast", "contrast_threshold", contrast_quantile))
-    limits = [F.percentile_approx(score, share, 10_000).alias(f"{limit}_of") for score, limit, share in rules]
-    by_lang = small(staged(own.groupBy("lang").agg(*limits), "limits"))
-    of_all = own.agg(*limits).first()
+    among = lambda of, score, share: F.percentile_approx(F.when(F.col(of), F.col(score)), share, 10_000)
+    near, far = among("trusted", "contrast", 1 - EDGE), among("toxic", "contrast", EDGE)
+    limit_of = {limit: among("trusted", score, share) for score, limit, share in rules}
+    limit_of["contrast_threshold"] = F.greatest(limit_of["contrast_threshold"], near + WAY * (far - near))
+    limits = [value.alias(f"{limit}_of") for limit, value in limit_of.items()]
+    by_lang = small(staged(labelled.groupBy("lang").agg(*limits), "limits"))
+    of_all = labelled.agg(*limits).first()
     judged = scored.join(by_lang, "lang", "left").withColumns({limit: F.coalesce(f"{limit}_of", F.lit(of_all[f"{limit}_of"]).cast("double")) for _, limit, _ in rules})
     under = lambda score, limit: F.coalesce(F.col(score) <= F.col(limit), F.lit(True))
     second = F.when(F.col("contrast").isNotNull(), under("contrast", "contrast_threshold")).otherwise(under("worst_word", "word_threshold"))
