@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quandrel.llm import arrays
-from quandrel.llm.staging import staged
+from quandrel.llm.staging import area, staged
 
 ORDER, BITS = 5, 21
 #: Bytes of text that one step works on.
@@ -192,32 +192,40 @@ def log_probabilities(wanted: DataFrame, tables: list) -> DataFrame:
     A symbol that the model never saw has what order 1 leaves, as one symbol more.
     """
     letters = tables[0][0].groupBy(model_of().alias("model")).agg(F.count("*").alias("letters"))
-    now = None
-    for n in range(1, ORDER + 1):
+
+    def of_order(n: int) -> DataFrame:
+        """q and q1 of the last n symbols; the order below is deleted once it was read."""
         a, b = suffix(n)
         mine = (wanted if n == ORDER else wanted.select(a.alias("a"), b.alias("b")).distinct()).select("a", "b")
-        if now is None:
-            even = 1 / (F.coalesce("letters", F.lit(0)) + 1)
-            mine = mine.withColumn("model", model_of()).join(letters, "model", "left").select("a", "b", even.alias("q"), even.alias("q1"))
-        else:
-            sa, sb = suffix(n - 1)
-            mine = mine.withColumns({"sa": sa, "sb": sb}).join(now.withColumnsRenamed({"a": "sa", "b": "sb"}), ["sa", "sb"]).drop("sa", "sb")
-        ca, cb = context()
-        grams, totals = tables[n - 1]
-        rows = mine.withColumns({"ca": ca, "cb": cb}).join(totals, ["ca", "cb"], "left").join(grams, ["a", "b"], "left")
-        share = (F.col("c") - discount()) / F.col("total")
-        value = lambda s, w, q: F.coalesce(s, F.lit(0.0)) + F.coalesce(F.col(w), F.lit(1.0)) * F.col(q)
-        now = staged(rows.select("a", "b", value(share, "left", "q").alias("q"), value(F.when(F.col("lo") < F.col("hi"), share), "left1", "q1").alias("q1")), f"probabilities-{n}")
-    return now.select("a", "b", F.ln("q").cast("float").alias("p"), F.ln("q1").cast("float").alias("p1"))
-
-
-def gram_scores(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b, p, p1, t, t1) of ``wanted`` (a, b): p and p1 by a language's good model, t and t1 by its other one, or null without any."""
+        with area(wanted.sparkSession):
+            if n == 1:
+                even = 1 / (F.coalesce("letters", F.lit(0)) + 1)
+                mine = mine.withColumn("model", model_of()).join(letters, "model", "left").select("a", "b", even.alias("q"), even.alias("q1"))
+            else:
+                sa, sb = suffix(n - 1)
+                mine = mine.withColumns({"sa": sa, "sb": sb}).join(of_order(n - 1).withColumnsRenamed({"a": "sa", "b": "sb"}), ["sa", "sb"]).drop("sa", "sb")
+            ca, cb = context()
+            grams, totals = tables[n - 1]
+            rows = mine.withColumns({"ca": ca, "cb": cb}).join(totals, ["ca", "cb"], "left").join(grams, ["a", "b"], "left")
+            share = (F.col("c") - discount()) / F.col("total")
+            value = lambda s, w, q: F.coalesce(s, F.lit(0.0)) + F.coalesce(F.col(w), F.lit(1.0)) * F.col(q)
+            q, q1 = value(share, "left", "q"), value(F.when(F.col("lo") < F.col("hi"), share), "left1", "q1")
+            named = (q.alias("q"), q1.alias("q1")) if n < ORDER else (F.ln(q).cast("float").alias("p"), F.ln(q1).cast("float").alias("p1"))
+            return staged(rows.select("a", "b", *named), f"probabilities-{n}", keep=True)
+
+    return of_order(ORDER)
+
+
+def gram_scores(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, p, p1, t, t1) of the grams of ``docs``: p and p1 by a language's good model, t and t1 by its other one, or null without any."""
     tables = order_tables(counts)
     step = 1 << 2 * BITS
     other = tables[0][0].select(model_of().alias("model")).filter("model & 1 = 1").distinct()
-    twins = wanted.withColumn("model", model_of() + 1).join(other, "model").select((F.col("a") + F.lit(step)).alias("a"), "b")
-    both = staged(log_probabilities(staged(wanted.unionByName(twins), "wanted"), tables), "log-probabilities")
+    with area(docs.sparkSession):
+        found = staged(distinct_grams(docs), "grams")
+        twins = found.withColumn("model", model_of() + 1).join(other, "model").select((F.col("a") + F.lit(step)).alias("a"), "b")
+        wanted = staged(found.unionByName(twins), "wanted", keep=True)
+    both = log_probabilities(wanted, tables)
     odd = model_of().bitwiseAND(F.lit(1)) == 1
     return both.filter(~odd).join(both.filter(odd).select((F.col("a") - F.lit(step)).alias("a"), "b", F.col("p").alias("t"), F.col("p1").alias("t1")), ["a", "b"], "left")
 
@@ -294,8 +302,8 @@ def score_documents(docs: DataFrame, training: DataFrame, most: int) -> DataFram
     ``training`` (model, th, text) has the texts of all models.  Up to ``most`` distinct grams of all documents are
     broadcast with their probabilities; more are grouped with the texts, each part of the documents with its own grams.
     """
-    counts = staged(count_grams(training), "counts")
-    table = staged(gram_scores(staged(distinct_grams(docs), "grams"), counts), "gram-scores")
+    with area(docs.sparkSession):
+        table = staged(gram_scores(docs, staged(count_grams(training), "counts")), "gram-scores", keep=True)
     kept = ["doc_id", "lang", "th", "trusted", "toxic"]
     schema = docs.select(*kept).schema.add("perplexity", "double").add("worst_word", "double").add("contrast", "double")
     names = ("a", "b", "p", "p1", "t", "t1")

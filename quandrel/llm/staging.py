@@ -26,8 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and return a read of it: lost executors lose none of it.  ``keep``: outlives an area."""
-    path = f"{_areas[-1] if _areas and not keep else shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
+    """Write ``df`` to the shared folder and return a read of it: lost executors lose none of it.  ``keep``: outlives the
+    innermost area and belongs to the one around it, if there is one."""
+    areas = _areas[:-1] if keep else _areas
+    path = f"{areas[-1] if areas else shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
