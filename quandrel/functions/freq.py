@@ -30,6 +30,15 @@ class Freq:
         parts = {"day": (steps, zero, zero), "hour": (zero, steps, zero), "minute": (zero, zero, steps)}[self.unit]
         return ts + F.make_dt_interval(*parts, F.lit(0).cast("decimal(18,6)"))
 
+    def seconds(self) -> int:
+        """The length of a step; business days have none."""
+        return {"minute": 60, "hour": 3600, "day": 86400}[self.unit] * self.n
+
+    def steps_from(self, first: Column, ts: Column) -> Column:
+        """Whole steps from ``first`` to ``ts``, without a time zone; not for business days."""
+        clock = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+        return F.floor((F.datediff(ts, first).cast("long") * 86400 + clock(ts) - clock(first)) / self.seconds()).cast("long")
+
     def interval(self) -> str:
         """The step as an interval literal, for sequence()."""
         return f"interval {self.n} {'day' if self.unit == 'bday' else self.unit}"

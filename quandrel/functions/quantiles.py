@@ -15,6 +15,19 @@ def level_array(levels) -> Column:
     return F.array(*(F.lit(float(x)) for x in levels))
 
 
+def of_sorted(values: Column, levels) -> Column:
+    """Quantiles of a sorted array, interpolated as percentile() does; null if it is empty.
+
+    A loop over levels: written out, they make a method that the JVM doesn't compile.
+    """
+    def one(x: Column) -> Column:
+        at = (F.size(values) - 1) * x
+        low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return F.when(F.size(values) > 0, F.transform(level_array(levels), one))
+
+
 def repaired(q: Column) -> Column:
     """Sorted quantiles: no crossing.  Every forecast passes through here."""
     return F.array_sort(q)

@@ -2,6 +2,7 @@
 
 fit() takes aligned forecasts and skips the first ``warm_up`` origins of each item and lead, counted before rows with
 missing values go; apply() keeps the raw quantile where there are no parameters.  ``by`` names keys before item_id.
+A column ``origin`` of the aligned forecasts, where there is one, is that count, for rows that aren't all there.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ class Postprocessor(Protocol):
 
 
 def calibration_rows(aligned: DataFrame, warm_up: int = WARM_UP, by: Sequence[str] = ()) -> DataFrame:
-    order = W.partitionBy(*by, "item_id", "lead_time").orderBy("timestamp")
-    rows = aligned.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > warm_up).drop("_n")
+    if "origin" in aligned.columns:
+        rows = aligned.filter(F.col("origin") > warm_up)
+    else:
+        order = W.partitionBy(*by, "item_id", "lead_time").orderBy("timestamp")
+        rows = aligned.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > warm_up).drop("_n")
     return rows.filter(complete(F.col("q"), F.col("target")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from typing import Protocol
 
 import numpy as np
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 from quandrel.functions.calendar import calendar_features, feature_columns
 from quandrel.functions.freq import Freq
-from quandrel.functions.quantiles import LEVELS, level_array, normal_quantiles
+from quandrel.functions.quantiles import LEVELS, level_array, normal_quantiles, of_sorted
 from quandrel.operators.blockfit import GROUP_ROWS, by_size, packed, quantile_lines, together
-from quandrel.operators.forecast import forecasts_of, over_leads, shifted_label
+from quandrel.operators.forecast import align, forecasts_of, over_leads, shifted_label
 from quandrel.operators.rolling import CHUNK, rolling_quantiles
 from quandrel.operators.selection import exact_quantiles
 from quandrel.operators.regression import quantile_regression
+from quandrel.operators.series import on_grid
 
 FORECAST = "item_id {item}, timestamp timestamp_ntz, lead_time int, q array<double>"
 
@@ -67,6 +69,38 @@ class RollingQuantiles:
     def predict(self, series: DataFrame, params: DataFrame | None = None) -> DataFrame:
         return self.finish(self.states(series), params)
 
+    def of_known(self, values: DataFrame, span: tuple[datetime, datetime] | None = None, most_steps: int = CHUNK) -> DataFrame:
+        """Aligned forecasts of ``values`` (no grid: a row for each time that has one, on the steps of ``freq``), with ``origin``.
+
+        They hold the rows with a target of align() of the forecasts on on_grid(values), and ``origin``, the number of the
+        origin among all of the grid, from 1; besides them, rows without q or target, so that no item is missing.  Leads as
+        long as the grid have no rows.  ``span`` is the first and last time, where the caller knows them.
+
+        A grid of at most ``most_steps`` isn't laid out.  Then a series has a block of values at most, so a window may span
+        it: values are dealt by item and lead once, and all that follows by these keys needs no other shuffle.
+        """
+        lo, hi = span or values.agg(F.min("timestamp"), F.max("timestamp")).first()
+        plain = lo is not None and self.freq.unit != "bday" and self.last_n is not None
+        steps = (hi - lo) // timedelta(seconds=self.freq.seconds()) + 1 if plain else None
+        if steps is None or steps > most_steps:
+            grid = on_grid(values, self.freq)
+            order = W.partitionBy("item_id", "lead_time").orderBy("timestamp")
+            number = F.row_number().over(order).cast("long") if steps is None else self.freq.steps_from(F.lit(lo).cast("timestamp_ntz"), F.col("timestamp")) + 1
+            return align(self.predict(grid), grid, self.freq).withColumn("origin", number)
+        leads = [h for h in self.leads if h < steps]
+        known = F.col("target").isNotNull() & F.col("timestamp").isNotNull()
+        at = F.when(known, self.freq.steps_from(F.lit(lo).cast("timestamp_ntz"), F.col("timestamp")))
+        rows = values.filter("item_id is not null").select("item_id", "timestamp", "target", at.alias("_at"))
+        # an empty list of leads has a type too, and no rows
+        rows = rows.withColumn("lead_time", F.explode(F.array(*map(F.lit, leads)).cast("array<int>"))).repartition("item_id", "lead_time")
+        inside = W.partitionBy("item_id", "lead_time").orderBy(F.asc_nulls_last("_at"))  # unknown values stand behind all others
+        last = F.sort_array(F.collect_list("target").over(inside.rowsBetween(1 - self.last_n, 0)))
+        rows = forecasts_of(rows.withColumn("_last", last).withColumn("q", F.when(known, of_sorted(F.col("_last"), self.levels))))
+        states = [F.when(F.col("lead_time") == h, F.last("q").over(inside.rangeBetween(W.unboundedPreceding, -h))) for h in leads]
+        q = F.when(known, F.coalesce(*states)) if states else F.col("q")
+        origin = self.freq.shift(F.col("timestamp"), -F.col("lead_time"))
+        return rows.select("item_id", F.col("timestamp").alias("prediction_date"), origin.alias("timestamp"), "lead_time", q.alias("q"), F.when(known, F.col("target")).alias("target"), (F.col("_at") - F.col("lead_time") + 1).alias("origin"))
+
 
 @dataclass
 class SeasonalQuantiles:

@@ -413,11 +413,13 @@ def supplier_rolling(spark, d):
 
 def supplier_crps(spark, d):
     """Scores of raw and calibrated forecasts of a series a supplier: forecast, calibration and scores that grow with the tables."""
-    s = tables.supplier_daily(spark, d)
-    f = predictors.RollingQuantiles(leads=(7,), last_n=20, freq=DAY).predict(s)
-    aligned, post = forecast.align(f, s, DAY), calibrate.EmpiricalOffset()
-    both = aligned.withColumn("model", F.lit("raw")).unionByName(post.apply(aligned, post.fit(aligned)).withColumn("model", F.lit("eqc")))
-    scores = metrics.crps_table(metrics.crps_rows(both, LEVELS, 7, ["model"]), ["model"])
+    model, post = predictors.RollingQuantiles(leads=(7,), last_n=20, freq=DAY), calibrate.EmpiricalOffset()
+    raw = model.of_known(tables.lineitem_rows(spark, d, "l_suppkey"), tables.lineitem_span(spark, d))
+    corrected = post.apply(raw.withColumn("raw", F.col("q")), post.fit(raw))
+    named = F.array(F.struct(F.lit("raw").alias("model"), F.col("raw").alias("q")), F.struct(F.lit("eqc").alias("model"), F.col("q").alias("q")))
+    both = corrected.select("item_id", "timestamp", "lead_time", "target", F.inline(named))
+    # the origins of the last seven days have no target, so there is nothing to trim
+    scores = metrics.crps_table(metrics.crps_rows(both, LEVELS, None, ["model"]), ["model"])
     return scores.select("model", "item_id", "lead_time", r("crps", 4).alias("crps"))
 
 

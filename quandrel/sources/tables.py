@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quandrel.functions.freq import Freq
@@ -48,6 +48,7 @@ def lineitem_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_grid(lineitem_rows(spark, sf_dir), DAY)
 
 
-def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series a supplier: the number of series grows with the input."""
-    return on_grid(lineitem_rows(spark, sf_dir, "l_suppkey"), DAY)
+def lineitem_span(spark: SparkSession, sf_dir: str) -> Row:
+    """First and last day of all lines, from one column."""
+    day = F.date_trunc("day", "l_shipdate").cast("timestamp_ntz")
+    return table(spark, sf_dir, "lineitem").agg(F.min(day), F.max(day)).first()
