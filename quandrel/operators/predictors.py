@@ -227,7 +227,7 @@ def sample_quantiles(samples: DataFrame, levels, large: bool = False) -> DataFra
     """(item_id, timestamp, lead_time, q) from sampled trajectories (..., value); with ``large``, by exact_quantiles()."""
     keys = ["item_id", "timestamp", "lead_time"]
     if large:
-        return forecasts_of(exact_quantiles(samples, keys, [F.col("value")] * len(levels), levels))
+        return forecasts_of(exact_quantiles(samples, keys, F.col("value"), levels))
     return forecasts_of(samples.groupBy(*keys).agg(F.percentile("value", level_array(levels)).alias("q")))
 
 

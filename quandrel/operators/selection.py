@@ -14,38 +14,49 @@ from quandrel.operators.ordered import written
 ACCURACY = 10_000
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], values: Sequence[Column], levels: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], values: Column | Sequence[Column], levels: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
     """(keys..., q): for each level the quantile of its own of ``values``, interpolated as percentile() does; nulls don't count.
 
-    First pass: a mergeable sketch a group and level gives two values between which the rank must lie.  Second pass: values
-    below are counted, values between are counted by value; both add up before the shuffle.  What is sorted is a few
-    thousandths of a group's distinct values.  A level without any value is null, and so are all levels of a null key.
+    One column as ``values`` serves all levels, with one sketch and one row a value.  First pass: a mergeable sketch a group
+    and column gives for each level two values between which the rank must lie.  Second pass: values between are counted by
+    value, all others by the gap between bounds in which they lie, with the gap's least and largest value; all of it adds up
+    before the shuffle.  What is sorted is a few thousandths of a group's distinct values for each level.  A level without
+    any value is null, and so are all levels of a null key.
     """
-    keys, levels = list(keys), [float(x) for x in levels]
-    table = written(rows.select(*keys, F.array(*(v.cast("double") for v in values)).alias("_v")), "values")
+    keys, levels, shared = list(keys), [float(x) for x in levels], isinstance(values, Column)
+    columns, asked = ([values], [levels]) if shared else (list(values), [[x] for x in levels])
+    table = written(rows.select(*keys, *(v.cast("double").alias(f"_v{i}") for i, v in enumerate(columns))), "values")
     slack = 1.5 / accuracy
-    edges = [F.percentile_approx(F.col("_v")[i], F.array(F.lit(max(0.0, x - slack)), F.lit(min(1.0, x + slack))), F.lit(accuracy)) for i, x in enumerate(levels)]
-    bounds = [F.struct(e[0].alias("lo"), e[1].alias("hi"), F.count(F.col("_v")[i]).alias("n")) for i, e in enumerate(edges)]
+    bounds = []
+    for i, wanted in enumerate(asked):
+        ends = F.array(*(F.lit(max(0.0, x - slack)) for x in wanted), *(F.lit(min(1.0, x + slack)) for x in wanted))
+        bounds.append(F.struct(F.percentile_approx(f"_v{i}", ends, F.lit(accuracy)).alias("ends"), F.count(f"_v{i}").alias("n")))
     sketch = written(table.groupBy(*keys).agg(F.array(*bounds).alias("_b")), "bounds")  # a table, so that AQE can split a large group
-    # the neighbours of a rank may lie outside by one place: the next value on each side is known too
-    seen = F.zip_with("_v", "_b", lambda v, b: F.when(v <= b["hi"], F.struct(F.when(v >= b["lo"], v).alias("v"), v.alias("all"))))
-    above = F.zip_with("_v", "_b", lambda v, b: F.when(v > b["hi"], v))
-    joined = table.join(sketch, keys)
-    counted = joined.select(*keys, F.posexplode(seen).alias("_i", "s")).filter("s is not null").groupBy(*keys, "_i", F.col("s.v").alias("_value")).agg(F.count("*").alias("_c"), F.max("s.all").alias("_top"))
-    blank, one = F.lit(None).cast("double"), F.lit(1).cast("long")
-    row = lambda value, c: F.struct(value.alias("_value"), c.alias("_c"))
-    apart = F.when(F.col("_value").isNull(), F.array(row(blank, F.col("_c") - 1), row(F.col("_top"), one))).otherwise(F.array(row(F.col("_value"), F.col("_c"))))
-    counted = counted.select(*keys, "_i", F.inline(apart))
-    next_up = joined.select(*keys, F.posexplode(above).alias("_i", "_value")).filter("_value is not null").groupBy(*keys, "_i").agg(F.min("_value").alias("_value")).withColumn("_c", one)
-    both = counted.unionByName(next_up.select(*counted.columns))
-    order = W.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_value")).rowsBetween(W.unboundedPreceding, 0)
-    level = F.array(*map(F.lit, levels))[F.col("_i")]
-    ranked = both.withColumn("_to", F.sum("_c").over(order)).join(sketch, keys).withColumn("_at", (F.col("_b")[F.col("_i")]["n"] - 1) * level)
+    each = table.select(*keys, F.lit(0).alias("_i"), F.col("_v0").alias("_v")) if shared else table.select(*keys, F.posexplode(F.array(*(f"_v{i}" for i in range(len(columns))))).alias("_i", "_v"))
+    ends, m = F.get("_b", F.col("_i"))["ends"], len(asked[0])
+    below = F.size(F.filter(F.slice(ends, 1, m), lambda x: x <= F.col("_v")))
+    over = F.size(F.filter(F.slice(ends, m + 1, m), lambda x: x < F.col("_v")))
+    placed = each.filter("_v is not null").join(sketch, keys).select(*keys, "_i", "_v", below.alias("_below"), over.alias("_over"))
+    inside = F.col("_below") > F.col("_over")
+    counted = placed.groupBy(*keys, "_i", F.when(~inside, F.col("_below")).alias("_gap"), F.when(inside, F.col("_v")).alias("_value")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # the neighbours of a rank may lie outside by one place: the values at both ends of a gap are known too
+    row = lambda at, order, value, c: F.struct(at.alias("_sort"), F.lit(order).alias("_order"), value.alias("_value"), c.alias("_c"))
+    lo, hi, c, one = F.col("_lo"), F.col("_hi"), F.col("_c"), F.lit(1).cast("long")
+    gap = F.array(row(lo, 0, lo, one), row(lo, 1, F.when(lo == hi, lo), c - 2), row(hi, 2, hi, one))
+    counted = counted.select(*keys, "_i", F.inline(F.when(F.col("_gap").isNull() | (c == 1), F.array(row(lo, 0, lo, c))).otherwise(gap)))
+    order = W.partitionBy(*keys, "_i").orderBy("_sort", "_order").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("_to", F.sum("_c").over(order)).join(sketch, keys).withColumn("_last", F.get("_b", F.col("_i"))["n"] - 1)
     holds = lambda rank: F.max(F.when((F.col("_to") > rank) & (F.col("_to") - F.col("_c") <= rank), F.col("_value")))
-    found = ranked.groupBy(*keys, "_i").agg(holds(F.floor("_at")).alias("lo"), holds(F.ceil("_at")).alias("hi"), F.first("_at").alias("at"))
-    q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
-    lists = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", q.alias("q")))).alias("_q"))
-    return sketch.select(*keys).join(lists, keys, "left").select(*keys, F.array(*(F.col("_q")[i] for i in range(len(levels)))).alias("q"))
+    parts, q = [F.first("_last").alias("_last")], []
+    for j in range(m):
+        at = F.col("_last") * F.get(F.array(*(F.lit(x[j]) for x in asked)), F.col("_i"))
+        parts += [holds(F.floor(at)).alias(f"_l{j}"), holds(F.ceil(at)).alias(f"_h{j}")]
+        low, high = F.col(f"_l{j}"), F.col(f"_h{j}")
+        q.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    found = ranked.groupBy(*keys, "_i").agg(*parts).select(*keys, "_i", F.array(*q).alias("q"))
+    lists = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "q"))).alias("_q"))
+    place = [(0, j) if shared else (j, 0) for j in range(len(levels))]
+    return sketch.select(*keys).join(lists, keys, "left").select(*keys, F.array(*(F.col("_q")[i][j] for i, j in place)).alias("q"))
 
 
 def last_rows(rows: DataFrame, by: Sequence[str], n: int, time: str = "timestamp") -> DataFrame:

@@ -35,6 +35,22 @@ def test_quantiles_are_exact_however_coarse_the_sketch(spark, accuracy):
             assert np.allclose(got[g], [np.quantile(x, p) for x, p in zip((v, v, -v, 2 * v, v), LEVELS)], atol=1e-12)
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_one_column_serves_all_levels(spark, accuracy):
+    """One sketch and one row a value; with a column a level, each row was sent through nine sketches and eighteen counts."""
+    df, rows = groups(spark)
+    levels = (0.9, 0.0, 0.1, 0.5, 0.52, 1.0, 0.1)
+    out = selection.exact_quantiles(df, ["g"], F.col("v"), levels, accuracy)
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r.q for r in out.collect()}
+    held = defaultdict(list)
+    for g, v in rows:
+        held[g] += [] if v is None else [v]
+    assert set(got) == set(held) and got[None] == got["none"] == [None] * 7
+    for g in set(held) - {None, "none"}:
+        assert np.allclose(got[g], np.quantile(held[g], levels), atol=1e-12)
+
+
 def test_no_rows(spark):
     df, _ = groups(spark)
     assert selection.exact_quantiles(df.limit(0), ["g"], [F.col("v")], (0.5,)).collect() == []
