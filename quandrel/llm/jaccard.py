@@ -133,6 +133,8 @@ def link_finder(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
 
     def find(pairs: DataFrame) -> DataFrame:
         left = staged(pairs.join(side("a"), "a").join(side("b"), "b").filter(could_overlap(num, den)).select("a", "b", "na", "nb"), "pairs")
+        if left.isEmpty():
+            return left.select("a", "b")
         ends = left.select(F.col("a").alias("class_id")).union(left.select("b")).distinct()
         sets = staged(sets_of(docs, classes.join(ends, "class_id", "left_semi"), k), "sets")
         both = left.join(sets.select(F.col("class_id").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("found").alias("fb")), "b")
@@ -192,10 +194,13 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     find = link_finder(docs, classes, k, num, den)
     tried = staged(star, "star")
     links = staged(find(tried), "links")
-    roots = components(links)
+    roots = staged(components(links), "roots")
+    named = rows.join(keyed, ["n", "k1", "k2"], "left").select("doc_id", "th", "n", "class_id")
 
     at = lists.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     mixed = staged(at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "mixed")
+    if mixed.isEmpty():  # all that share a shingle are one component
+        return named, roots
     # sizes of a pair that may link differ by less than one band, so each band meets itself and the next
     band = F.floor(F.ln("n") / math.log(den / num)).cast("int")
     apart = one_of_alike(staged(at.join(mixed, "token"), "apart"))
@@ -205,8 +210,10 @@ def similar_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     ordered = F.expr("(na < nb or (na = nb and a < b)) and ra <> rb")
     met_again = a.join(b, ["token", "band"]).filter(ordered).filter(could_link(num, den)).filter(could_overlap(num, den))
     rest = met_again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = find(rest)
-    return rows.join(keyed, ["n", "k1", "k2"], "left").select("doc_id", "th", "n", "class_id"), components(links.union(more))
+    more = staged(find(rest), "more")
+    if more.isEmpty():  # no two components meet
+        return named, roots
+    return named, components(links.union(more))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from quandrel.llm import jaccard
+from quandrel.llm.components import components
 from tests.llm.test_operators import brute_groups
 
 
@@ -22,3 +25,16 @@ def test_clashing_names_pass_through_keep_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 7, 1), (2, "a b c d e f", "y", 8, 2)], "doc_id int, text string, _th string, _id int, blank int")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(1, "a b c d e f", "x", 7, 1)]
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_components_are_found_once_where_no_two_meet(spark, monkeypatch, apart):
+    """Each search for components is some thirty jobs, whose plans fill the driver."""
+    calls = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: calls.append(1) or components(edges))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], "x", *words[i + 1 :]]) for i in (58, 59)] + [" ".join(words)] * 2
+    texts += [" ".join([*words[:12], *(f"{k}v{i}" for i in range(40))]) for k in range(3)] if apart else []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs, 5, 80, 100).collect()}
+    assert got == {i: 0 if i < 4 else i for i in range(len(texts))} and len(calls) == 1
