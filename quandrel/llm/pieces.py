@@ -4,7 +4,7 @@ Plan.  The vocabulary is a BPE one: its ids come from merging the best pair agai
 lattice doesn't give, so the fold over each word's edges merges pairs instead.  A batch of texts becomes its distinct words;
 bounded-length substrings of those are exploded and matched with the piece table (fixed size, broadcast) by hash; the edges
 lie grouped by word; the fold runs over all words at once.  Documents stay where they are: no shuffle, and no word of one
-batch waits for another.
+batch waits for another.  Ids decode in the worker that made them where both are wanted.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from quandrel.llm.staging import light_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of more characters are folded one by one with a heap; bytes of text, and ids, that a step works on.
-LONG_WORD, STEP_BYTES = 64, 1 << 20
+#: Words of more characters are folded one by one with a heap; bytes of text, and ids, that a step works on.  A step takes
+#: some 150 times its bytes of memory, and smaller steps cost no more time.
+LONG_WORD, STEP_BYTES = 64, 256 << 10
 STEP_IDS = 1 << 18
 NONE = np.int32(2**31 - 1)
 
@@ -84,8 +85,6 @@ class Lattice:
         self.first = np.searchsorted(self.hashes >> self.SHIFT, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
         self.ids = np.array(pieces.ids, np.int32)
         self.bytes = np.array(pieces.bytes_, np.int32)
-        self.rank_of = {t: i for i, t in enumerate(pieces.texts)}
-
 
     def edges(self, prefix: np.ndarray, end_of: np.ndarray) -> np.ndarray:
         """[start, length]: rank of the piece that is this substring, or NONE; no substring crosses its word's end."""
@@ -200,6 +199,11 @@ class Lattice:
         return ids, total[np.searchsorted(start, offsets)]
 
 
+def decoding(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of what each id decodes to."""
+    return np.frombuffer(b"".join(pieces.names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in pieces.names])])
+
+
 def decode_ids(names: tuple[np.ndarray, np.ndarray], ids: np.ndarray, offsets: np.ndarray) -> list[str]:
     """Texts of id lists: bytes of the pieces, without the space that encoding puts first; broken UTF-8 becomes U+FFFD."""
     data, at = names
@@ -210,34 +214,43 @@ def decode_ids(names: tuple[np.ndarray, np.ndarray], ids: np.ndarray, offsets: n
     return [raw[a + (raw[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
+def encoded(lattice: Lattice, batch: pa.RecordBatch, names: tuple[np.ndarray, np.ndarray] | None = None, into: str = "decoded") -> Iterator[pa.RecordBatch]:
+    """``batch`` in steps, with the ids of its texts, and with their decoded texts if ``names`` are given."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    _, offsets = arrays.texts(column)
+    for lo, hi in arrays.steps(offsets, STEP_BYTES):
+        ids, bounds = lattice.encode(column.slice(lo, hi - lo).to_pylist())
+        new = {"ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))}
+        if names is not None:
+            new[into] = pa.array(decode_ids(names, ids, bounds), pa.string())
+        yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *new.values()], [*batch.schema.names, *new])
+
+
+def encode(docs: DataFrame, pieces: Pieces, decoded: str | None = None) -> DataFrame:
     """``docs`` with ids (array of int) added: SentencePiece ids of ``text``.
 
     Null and empty texts have no ids.  Whole texts of any length are encoded.  A column named ids is replaced; others pass
-    through, repeated rows too.
+    through, repeated rows too.  ``decoded``: a column of this name has the texts that decode() makes of the ids, by the
+    worker that encodes, so that a task needs one worker, not two.
     """
     light_batches(docs.sparkSession)
-    mine = docs.drop("ids")
+    mine = docs.drop("ids", *([decoded] if decoded else []))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
+        lattice, names = Lattice(shared.value), decoding(shared.value) if decoded else None
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            _, offsets = arrays.texts(column)
-            for lo, hi in arrays.steps(offsets, STEP_BYTES):
-                ids, bounds = lattice.encode(column.slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in range(batch.num_columns)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], [*batch.schema.names, "ids"])
+            yield from encoded(lattice, batch, names, decoded)
 
-    return mine.mapInArrow(arrays.freeing(run), T.StructType([*mine.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return mine.mapInArrow(arrays.freeing(run), T.StructType([*mine.schema.fields, *new]))
 
 
 def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ``ids`` added; null ids give ''."""
     light_batches(rows.sparkSession)
     mine = rows.drop(into)
-    names = np.frombuffer(b"".join(pieces.names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in pieces.names])])
-    shared = rows.sparkSession.sparkContext.broadcast(names)
+    shared = rows.sparkSession.sparkContext.broadcast(decoding(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,5 +267,5 @@ def decode(rows: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFrame:
 def op6_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     pieces = load(model)
-    out = decode(encode(docs, pieces), pieces)
+    out = encode(docs, pieces, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")).alias("round_trip"))
